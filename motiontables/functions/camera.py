@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import all_numbers, dot, is_number, norm, parts, sub, vec
+from .vectors import all_numbers, dot, is_number, let, norm, parts, sub, vec
 
 
 # ---- timeline -----------------------------------------------------------
@@ -40,14 +40,18 @@ def project(point: Column, intrinsics: Column, distortion: Column) -> Column:
     x, y, z = parts(point)
     fx, fy, cx, cy = parts(intrinsics, 4)
     k = [F.coalesce(F.get(distortion, F.lit(i)), F.lit(0.0)) for i in range(8)]
-    u, v = x / z, y / z
-    r2 = u * u + v * v
-    radial = ((1 + r2 * (k[0] + r2 * (k[1] + r2 * k[4])))
-              / (1 + r2 * (k[5] + r2 * (k[6] + r2 * k[7]))))
-    du = u * radial + 2 * k[2] * u * v + k[3] * (r2 + 2 * u * u)
-    dv = v * radial + k[2] * (r2 + 2 * v * v) + 2 * k[3] * u * v
-    return F.when(projection_reason(point, distortion).isNull(),
-                  F.array(fx * du + cx, fy * dv + cy))
+
+    def bend(n):
+        u, v, r2 = parts(n)
+        radial = ((1 + r2 * (k[0] + r2 * (k[1] + r2 * k[4])))
+                  / (1 + r2 * (k[5] + r2 * (k[6] + r2 * k[7]))))
+        return let(radial, lambda m: F.array(
+            fx * (u * m + 2 * k[2] * u * v + k[3] * (r2 + 2 * u * u)) + cx,
+            fy * (v * m + k[2] * (r2 + 2 * v * v) + 2 * k[3] * u * v) + cy))
+
+    normal = let(F.array(x / z, y / z), lambda p: F.array(
+        p.getItem(0), p.getItem(1), p.getItem(0) * p.getItem(0) + p.getItem(1) * p.getItem(1)))
+    return F.when(projection_reason(point, distortion).isNull(), let(normal, bend))
 
 
 def projection_reason(point: Column, distortion: Column) -> Column:
@@ -186,7 +190,7 @@ def scale_residual(source: Column, metric: Column) -> Column:
 
 
 def quad_homography(corners: Column) -> Column:
-    """Homography of the unit square onto four image points (8 numbers, h8 = 1).
+    """Homography of the unit square onto four image points (8 numbers, last entry 1).
 
     ``corners`` is array<array<double>> in cyclic order; closed form of the 8x8 system.
     """
@@ -194,9 +198,14 @@ def quad_homography(corners: Column) -> Column:
     dx1, dx2, dx3 = x1 - x2, x3 - x2, x0 - x1 + x2 - x3
     dy1, dy2, dy3 = y1 - y2, y3 - y2, y0 - y1 + y2 - y3
     den = dx1 * dy2 - dx2 * dy1
-    g, h = (dx3 * dy2 - dx2 * dy3) / den, (dx1 * dy3 - dx3 * dy1) / den
-    return F.array(x1 - x0 + g * x1, x3 - x0 + h * x3, x0,
-                   y1 - y0 + g * y1, y3 - y0 + h * y3, y0, g, h)
+    tilt = F.array((dx3 * dy2 - dx2 * dy3) / den, (dx1 * dy3 - dx3 * dy1) / den)
+
+    def fill(t):
+        g, h = parts(t, 2)
+        return F.array(x1 - x0 + g * x1, x3 - x0 + h * x3, x0,
+                       y1 - y0 + g * y1, y3 - y0 + h * y3, y0, g, h)
+
+    return let(tilt, fill)
 
 
 # Limits of the single-rectangle focal estimate.
@@ -218,32 +227,54 @@ def quad_focal(corners: Column, width: Column, height: Column, resolution: Colum
         resolution.getItem(0) / 2, resolution.getItem(1) / 2)
     image_scale = F.greatest(resolution.getItem(0), resolution.getItem(1)).cast("double")
     object_scale = F.greatest(width, height)
-    unit = F.transform(corners, lambda c: F.array((c.getItem(0) - px) / image_scale,
-                                                  (c.getItem(1) - py) / image_scale))
-    h = quad_homography(unit)
-    g = h.getItem
-    # Columns of the map from object axes; centring shifts the third column only,
-    # up to a common factor 1 + g/2 + h/2 that normalises the last entry to one.
-    common = 1 + g(6) / 2 + g(7) / 2
-    ws, hs = width / object_scale * common, height / object_scale * common
-    a, b = vec(g(0) / ws, g(3) / ws, g(6) / ws), vec(g(1) / hs, g(4) / hs, g(7) / hs)
-    a0, a1, a2 = parts(a)
-    b0, b1, b2 = parts(b)
-    c1, c2 = a0 * b0 + a1 * b1, (a0 * a0 + a1 * a1) - (b0 * b0 + b1 * b1)
-    d1, d2 = a2 * b2, a2 * a2 - b2 * b2
-    denominator = c1 * c1 + c2 * c2
-    information = F.sqrt(d1 * d1 + d2 * d2) / F.greatest(dot(a, a) + dot(b, b), F.lit(1e-30))
-    q = -(c1 * d1 + c2 * d2) / denominator
-    focal = F.when(q > 0, 1 / F.sqrt(q))
-    first, second = vec(a0 / focal, a1 / focal, a2), vec(b0 / focal, b1 / focal, b2)
-    n1, n2 = norm(first), norm(second)
-    orthogonality = F.abs(dot(first, second)) / (n1 * n2)
-    axis = F.abs(n1 - n2) / F.greatest(n1, n2)
-    unidentifiable = F.coalesce((information < min_information) | (denominator <= 1e-24), F.lit(True))
-    reasons = F.array_compact(F.array(
-        F.when(unidentifiable, "focal_unidentifiable_projection"),
-        F.when(~unidentifiable & focal.isNull(), "no_positive_focal"),
-        F.when(~unidentifiable & (orthogonality > max_orthogonality), "axis_orthogonality_inconsistent"),
-        F.when(~unidentifiable & (axis > max_axis_difference), "axis_length_inconsistent")))
-    return F.struct(F.when(~unidentifiable, focal * image_scale).alias("focal_px"),
-                    (F.size(reasons) == 0).alias("accepted"), reasons.alias("reasons"))
+    scaled_corners = F.transform(corners, lambda c: F.array((c.getItem(0) - px) / image_scale,
+                                                            (c.getItem(1) - py) / image_scale))
+
+    def axes(h):
+        """Images of the two object axes; centring rescales all columns by one factor."""
+        g = h.getItem
+        common = 1 + g(6) / 2 + g(7) / 2
+        ws, hs = width / object_scale * common, height / object_scale * common
+        return F.array(vec(g(0) / ws, g(3) / ws, g(6) / ws), vec(g(1) / hs, g(4) / hs, g(7) / hs))
+
+    def equations(pair):
+        a, b = pair.getItem(0), pair.getItem(1)
+        (a0, a1, a2), (b0, b1, b2) = parts(a), parts(b)
+        return F.array(a0 * b0 + a1 * b1, (a0 * a0 + a1 * a1) - (b0 * b0 + b1 * b1),
+                       a2 * b2, a2 * a2 - b2 * b2, dot(a, a) + dot(b, b))
+
+    def solve(e):
+        c1, c2, d1, d2, size = parts(e, 5)
+        denominator = c1 * c1 + c2 * c2
+        information = F.sqrt(d1 * d1 + d2 * d2) / F.greatest(size, F.lit(1e-30))
+        q = -(c1 * d1 + c2 * d2) / denominator
+        vague = F.coalesce((information < min_information) | (denominator <= 1e-24), F.lit(True))
+        return F.struct(vague.alias("vague"), F.when(~vague & (q > 0), 1 / F.sqrt(q)).alias("f"))
+
+    def checks(pair):
+        def errors(found):
+            f = found.getField("f")
+            first, second = [vec(p.getItem(0) / f, p.getItem(1) / f, p.getItem(2))
+                             for p in (pair.getItem(0), pair.getItem(1))]
+            measured = let(F.array(first, second), lambda v: F.array(
+                dot(v.getItem(0), v.getItem(1)), norm(v.getItem(0)), norm(v.getItem(1))))
+            return let(measured, lambda m: verdict(found, m))
+
+        return let(let(equations(pair), solve), errors)
+
+    def verdict(found, m):
+        vague, f = found.getField("vague"), found.getField("f")
+        cosine, n1, n2 = parts(m)
+        why = F.array_compact(F.array(
+            F.when(vague, "focal_unidentifiable_projection"),
+            F.when(~vague & f.isNull(), "no_positive_focal"),
+            F.when(F.abs(cosine) / (n1 * n2) > max_orthogonality, "axis_orthogonality_inconsistent"),
+            F.when(F.abs(n1 - n2) / F.greatest(n1, n2) > max_axis_difference, "axis_length_inconsistent")))
+        return F.struct((f * image_scale).alias("focal_px"), (F.size(why) == 0).alias("accepted"),
+                        why.alias("reasons"))
+
+    return let(let(quad_homography_of(scaled_corners), axes), checks)
+
+
+def quad_homography_of(corners: Column) -> Column:
+    return let(corners, quad_homography)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import clip, dot, norm, parts, scaled, vec
+from .vectors import dot, let, norm, parts, scaled, vec
 
 # Smallest rotation angle, near-parallel limit, units per metre.
 SMALL_ANGLE = 1e-12
@@ -15,27 +15,34 @@ ENGINE_UNITS = 100.0
 IDENTITY = (0.0, 0.0, 0.0, 1.0)
 
 
-def normalized(q: Column, n: int = 4) -> Column:
-    return scaled(q, F.lit(1.0) / norm(q, n), n)
+def unit(q: Column, n: int = 4) -> Column:
+    return let(q, lambda v: scaled(v, F.lit(1.0) / norm(v, n), n))
 
 
 def axis_angle_to_quat(v: Column) -> Column:
     """Rotation vector to unit quaternion; a vanishing angle gives the identity."""
-    angle = norm(v)
-    k = F.sin(angle / 2) / angle
-    x, y, z = parts(v)
-    return F.when(angle < SMALL_ANGLE, vec(*IDENTITY)).otherwise(
-        F.array(x * k, y * k, z * k, F.cos(angle / 2)))
+    def turn(angle):
+        k = F.sin(angle / 2) / angle
+        x, y, z = parts(v)
+        return F.when(angle < SMALL_ANGLE, vec(*IDENTITY)).otherwise(
+            F.array(x * k, y * k, z * k, F.cos(angle / 2)))
+
+    return let(norm(v), turn)
 
 
 def quat_to_axis_angle(q: Column) -> Column:
     """Unit quaternion to rotation vector with angle in [0, pi]."""
-    x, y, z, w = parts(q, 4)
-    sign = F.when(w < 0, -1.0).otherwise(1.0)
-    length = F.sqrt(x * x + y * y + z * z)
-    angle = 2 * F.atan2(length, w * sign)
-    k = sign * angle / length
-    return F.when(length < SMALL_ANGLE, vec(0, 0, 0)).otherwise(F.array(x * k, y * k, z * k))
+    def turn(u):
+        x, y, z, w = parts(u, 4)
+        sign = F.when(w < 0, -1.0).otherwise(1.0)
+
+        def scale(length):
+            k = sign * 2 * F.atan2(length, w * sign) / length
+            return F.when(length < SMALL_ANGLE, vec(0, 0, 0)).otherwise(F.array(x * k, y * k, z * k))
+
+        return let(F.sqrt(x * x + y * y + z * z), scale)
+
+    return let(q, turn)
 
 
 def quat_to_matrix(q: Column) -> Column:
@@ -58,8 +65,7 @@ def matrix_to_quat(m: Column) -> Column:
               F.array(t_x, g(1) + g(3), g(2) + g(6), g(7) - g(5)))
         .when(g(4) >= g(8), F.array(g(1) + g(3), t_y, g(5) + g(7), g(2) - g(6)))
         .otherwise(F.array(g(2) + g(6), g(5) + g(7), t_z, g(3) - g(1))))
-    unit = normalized(raw)
-    return scaled(unit, F.when(unit.getItem(3) < 0, -1.0).otherwise(1.0), 4)
+    return let(unit(raw), lambda q: scaled(q, F.when(q.getItem(3) < 0, -1.0).otherwise(1.0), 4))
 
 
 def quat_mul(a: Column, b: Column) -> Column:
@@ -80,16 +86,21 @@ def quat_conj(q: Column) -> Column:
 
 def slerp(first: Column, second: Column, alpha: Column) -> Column:
     """Shortest-path spherical interpolation of two quaternions, unit result."""
-    a, b = normalized(first), normalized(second)
-    raw_dot = dot(first, second, 4) / (norm(first, 4) * norm(second, 4))
-    sign = F.when(raw_dot < 0, -1.0).otherwise(1.0)
-    cosine = clip(F.abs(raw_dot), -1.0, 1.0)
-    angle = F.acos(cosine)
-    near = cosine > PARALLEL_DOT
-    wa = F.when(near, 1 - alpha).otherwise(F.sin((1 - alpha) * angle) / F.sin(angle))
-    wb = sign * F.when(near, alpha).otherwise(F.sin(alpha * angle) / F.sin(angle))
-    mix = F.array(*[wa * a.getItem(i) + wb * b.getItem(i) for i in range(4)])
-    return normalized(mix)
+    def weights(c):
+        """(weight of first, weight of second) for the cosine ``c`` of the raw pair."""
+        sign = F.when(c < 0, -1.0).otherwise(1.0)
+        near = F.abs(c) > PARALLEL_DOT
+        angle = F.acos(F.least(F.abs(c), F.lit(1.0)))
+        return F.array(
+            F.when(near, 1 - alpha).otherwise(F.sin((1 - alpha) * angle) / F.sin(angle)),
+            sign * F.when(near, alpha).otherwise(F.sin(alpha * angle) / F.sin(angle)))
+
+    def mixed(pair):
+        a, b = pair.getItem(0), pair.getItem(1)
+        return let(let(dot(a, b, 4), weights), lambda w: unit(F.array(*[
+            w.getItem(0) * a.getItem(i) + w.getItem(1) * b.getItem(i) for i in range(4)])))
+
+    return let(F.array(unit(first), unit(second)), mixed)
 
 
 # Basis changes. Each pair is mutually inverse.

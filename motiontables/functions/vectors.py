@@ -12,6 +12,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    Inlined reuse doubles an expression at every step and soon exceeds what the code
+    generator accepts; a bound variable keeps it linear.
+    """
+    return F.transform(F.array(value), lambda v: body(v)).getItem(0)
+
+
 def vec(*parts) -> Column:
     return F.array(*[(p if isinstance(p, Column) else F.lit(p)).cast("double") for p in parts])
 

@@ -10,7 +10,7 @@ reuses the block partitioning, so the big side is shuffled once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,15 +42,6 @@ def block_window(keys: Sequence[str], order: Sequence) -> Window:
     return Window.partitionBy(*keys, BLOCK).orderBy(*order)
 
 
-def carry(df: DataFrame, keys: Sequence[str], summary: Sequence[Column],
-          carried: dict[str, Callable[[Window], Column]]) -> DataFrame:
-    """Summarise each block, scan the summaries in block order, join the result back."""
-    per_block = df.groupBy(*keys, BLOCK).agg(*summary)
-    across = Window.partitionBy(*keys).orderBy(BLOCK)
-    carried_rows = per_block.select(*keys, BLOCK, *[fn(across).alias(n) for n, fn in carried.items()])
-    return df.join(carried_rows, [*keys, BLOCK], "left")
-
-
 def _before(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -60,9 +51,13 @@ def _after(w: Window) -> Window:
 
 
 def block_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans: Sequence[Scan],
-               width=FRAME_BLOCK) -> DataFrame:
-    """Add the scan columns. ``order[0]`` is numeric; the rest breaks ties."""
-    base = with_block(df, order[0], width)
+               width=FRAME_BLOCK, block: Column | None = None) -> DataFrame:
+    """Add the scan columns. ``order[0]`` is numeric; the rest breaks ties.
+
+    Blocks are ``width`` wide in ``order[0]``, or given by ``block``, any integer that
+    never decreases along the order (a logarithm for values spread over magnitudes).
+    """
+    base = with_block(df, order[0], width) if block is None else df.withColumn(BLOCK, block.cast("long"))
     w = block_window(keys, order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     onward = w.rowsBetween(0, Window.unboundedFollowing)

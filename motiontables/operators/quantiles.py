@@ -37,28 +37,29 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: di
              .otherwise(F.col("__cut").getItem(i)) for i, c in enumerate(cuts)]
     located = bounds.select(*keys, "n", F.array(*edges).alias("__edge"))
     targets = F.array(*[F.struct(
-        F.lit(i).alias("i"), F.lit(p).alias("p"),
-        F.col("__edge").getItem(2 * i).alias("lo"), F.col("__edge").getItem(2 * i + 1).alias("hi"))
+        F.lit(i).alias("__i"), F.lit(p).alias("__p"),
+        F.col("__edge").getItem(2 * i).alias("__lo"), F.col("__edge").getItem(2 * i + 1).alias("__hi"))
         for i, p in enumerate(points)])
     tagged = data.join(located, list(keys))
+    point = [*keys, "n", "__i", "__p"]
     # Values below a bracket collapse to one counter; values inside stay, counted per value.
-    placed = tagged.select(*keys, "n", "__v", F.inline(targets)).filter(F.col("__v") <= F.col("hi")).select(
-        *keys, "n", "i", "p", F.when(F.col("__v") >= F.col("lo"), F.col("__v")).alias("x"))
-    counted = placed.groupBy(*keys, "n", "i", "p", "x").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys, "i").orderBy(F.col("x").asc_nulls_first()).rowsBetween(
+    placed = tagged.select(*keys, "n", "__v", F.inline(targets)).filter(F.col("__v") <= F.col("__hi")).select(
+        *point, F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__x"))
+    counted = placed.groupBy(*point, "__x").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*keys, "__i").orderBy(F.col("__x").asc_nulls_first()).rowsBetween(
         Window.unboundedPreceding, 0)
-    rank = F.col("p") * (F.col("n") - 1)
-    low_rank, high_rank = F.floor(rank), F.ceil(rank)
-    ranked = counted.withColumn("upto", F.sum("c").over(w)).withColumn("from", F.col("upto") - F.col("c"))
+    rank = F.col("__p") * (F.col("n") - 1)
+    ranked = counted.withColumn("__upto", F.sum("__c").over(w)).withColumn(
+        "__from", F.col("__upto") - F.col("__c"))
 
     def at(r):
-        return F.max(F.when(F.col("x").isNotNull() & (r >= F.col("from")) & (r < F.col("upto")), F.col("x")))
+        inside = F.col("__x").isNotNull() & (r >= F.col("__from")) & (r < F.col("__upto"))
+        return F.max(F.when(inside, F.col("__x")))
 
-    per_point = ranked.groupBy(*keys, "n", "i", "p").agg(at(low_rank).alias("a"), at(high_rank).alias("b"))
-    frac = F.col("p") * (F.col("n") - 1) - F.floor(F.col("p") * (F.col("n") - 1))
-    solved = per_point.select(*keys, "n", "i", (F.col("a") + (F.col("b") - F.col("a")) * frac).alias("q"))
-    return solved.groupBy(*keys, "n").agg(
-        *[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(names)])
+    per_point = ranked.groupBy(*point).agg(at(F.floor(rank)).alias("__a"), at(F.ceil(rank)).alias("__b"))
+    value_at = F.col("__a") + (F.col("__b") - F.col("__a")) * (rank - F.floor(rank))
+    return per_point.groupBy(*keys, "n").agg(
+        *[F.max(F.when(F.col("__i") == i, value_at)).alias(n) for i, n in enumerate(names)])
 
 
 def bounded_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float]) -> DataFrame:

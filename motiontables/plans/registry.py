@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import Catalog
 
-TOPICS = ("timelines",)
+TOPICS = ("timelines", "measures")
 
 
 def full_catalog() -> Catalog:

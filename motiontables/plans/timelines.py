@@ -310,18 +310,26 @@ def fill_timeline(spark, base) -> DataFrame:
 
 
 @catalog.add("fill_rotation", f"""
-WITH {DENSE}
-SELECT clip_id, side, frame, sample_kind, round(sin(angle / 2), 6) + 0.0 AS qz, round(cos(angle / 2), 6) + 0.0 AS qw,
-       round(angle, 5) AS angle FROM dense
+WITH {DENSE}, ends AS (
+  SELECT f.*, coalesce(pa, qa) / 2 AS ha, coalesce(qa, pa) / 2 AS hb FROM filled f),
+mix AS (
+  SELECT *, CASE WHEN alpha IS NULL THEN sin(ha)
+                 WHEN cos(ha - hb) > 0.9995 THEN (1 - alpha) * sin(ha) + alpha * sin(hb)
+                 ELSE sin((1 - alpha) * ha + alpha * hb) END AS sz,
+            CASE WHEN alpha IS NULL THEN cos(ha)
+                 WHEN cos(ha - hb) > 0.9995 THEN (1 - alpha) * cos(ha) + alpha * cos(hb)
+                 ELSE cos((1 - alpha) * ha + alpha * hb) END AS cz FROM ends)
+SELECT clip_id, side, frame, sample_kind, round(sz / sqrt(sz * sz + cz * cz), 8) + 0.0 AS qz,
+       round(cz / sqrt(sz * sz + cz * cz), 8) + 0.0 AS qw, round(2 * atan2(sz, cz), 8) AS angle FROM mix
 """)
 def fill_rotation(spark, base) -> DataFrame:
-    """All rotations turn about z by 0..pi, so SLERP equals linear interpolation of the angle
-    except in the near-parallel blend, whose difference is far below the rounding."""
+    """All rotations turn about z by 0..pi, so SLERP interpolates the angle, and near-parallel
+    pairs blend linearly before renormalising."""
     d = fill.fill_rotations(retained(spark, base), ["clip_id", "side"], "quat", TIMELINE)
     q = F.col("quat")
-    return d.select("clip_id", "side", "frame", "sample_kind", (F.round(q.getItem(2), 6) + 0.0).alias("qz"),
-                    (F.round(q.getItem(3), 6) + 0.0).alias("qw"),
-                    F.round(norm(quat_to_axis_angle(q)), 5).alias("angle"))
+    return d.select("clip_id", "side", "frame", "sample_kind", (F.round(q.getItem(2), 8) + 0.0).alias("qz"),
+                    (F.round(q.getItem(3), 8) + 0.0).alias("qw"),
+                    F.round(norm(quat_to_axis_angle(q)), 8).alias("angle"))
 
 
 @catalog.add("quaternion_signs", f"""

@@ -26,7 +26,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def session() -> SparkSession:
     spark = (SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]")
-             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.driver.host", "127.0.0.1").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
