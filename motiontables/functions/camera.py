@@ -198,7 +198,7 @@ def quad_homography(corners: Column) -> Column:
     dx1, dx2, dx3 = x1 - x2, x3 - x2, x0 - x1 + x2 - x3
     dy1, dy2, dy3 = y1 - y2, y3 - y2, y0 - y1 + y2 - y3
     den = dx1 * dy2 - dx2 * dy1
-    tilt = F.array((dx3 * dy2 - dx2 * dy3) / den, (dx1 * dy3 - dx3 * dy1) / den)
+    tilt = F.array(F.try_divide(dx3 * dy2 - dx2 * dy3, den), F.try_divide(dx1 * dy3 - dx3 * dy1, den))
 
     def fill(t):
         g, h = parts(t, 2)
@@ -235,7 +235,8 @@ def quad_focal(corners: Column, width: Column, height: Column, resolution: Colum
         g = h.getItem
         common = 1 + g(6) / 2 + g(7) / 2
         ws, hs = width / object_scale * common, height / object_scale * common
-        return F.array(vec(g(0) / ws, g(3) / ws, g(6) / ws), vec(g(1) / hs, g(4) / hs, g(7) / hs))
+        return F.array(F.array(*[F.try_divide(g(i), ws) for i in (0, 3, 6)]),
+                       F.array(*[F.try_divide(g(i), hs) for i in (1, 4, 7)]))
 
     def equations(pair):
         a, b = pair.getItem(0), pair.getItem(1)
@@ -247,7 +248,7 @@ def quad_focal(corners: Column, width: Column, height: Column, resolution: Colum
         c1, c2, d1, d2, size = parts(e, 5)
         denominator = c1 * c1 + c2 * c2
         information = F.sqrt(d1 * d1 + d2 * d2) / F.greatest(size, F.lit(1e-30))
-        q = -(c1 * d1 + c2 * d2) / denominator
+        q = -F.try_divide(c1 * d1 + c2 * d2, denominator)
         vague = F.coalesce((information < min_information) | (denominator <= 1e-24), F.lit(True))
         return F.struct(vague.alias("vague"), F.when(~vague & (q > 0), 1 / F.sqrt(q)).alias("f"))
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SKETCH = 2000
+SKETCH = 10000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float],

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import Catalog
 
-TOPICS = ("timelines", "measures")
+TOPICS = ("timelines", "measures", "contracts", "records", "tracks")
 
 
 def full_catalog() -> Catalog:
