@@ -13,6 +13,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def records(rows: list[dict], columns: Sequence[str]) -> pd.DataFrame:
+    """Rows as a frame whose missing values stay None (NaN is not null for lists or integers)."""
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in columns})
+
+
 def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], new_state: Callable,
                 step: Callable, schema: str) -> DataFrame:
     """``step(state, row_dict) -> list of output dicts``; ``row_dict`` None flushes a key at its end."""
@@ -30,10 +35,10 @@ def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], new_st
                         out += [{**dict(zip(key_list, current)), **r} for r in step(state, None)]
                     current, state = key, new_state()
                 out += [{**dict(zip(key_list, key)), **r} for r in step(state, row)]
-            yield pd.DataFrame(out, columns=columns)
+            yield records(out, columns)
         if current is not None:
             tail = [{**dict(zip(key_list, current)), **r} for r in step(state, None)]
-            yield pd.DataFrame(tail, columns=columns)
+            yield records(tail, columns)
 
     arranged = df.repartition(*key_list).sortWithinPartitions(*key_list, *order)
     return arranged.mapInPandas(run, schema)

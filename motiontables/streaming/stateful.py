@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.fold import records
 from ..operators.identity import TRACK_COLUMNS, TrackingRules, frame_rows, new_state, observation, track_frame
 from ..operators.lifecycle import star_components
 
@@ -72,11 +73,7 @@ class IdentityProcessor(_JsonState):
             else:
                 out += frame_rows(ts, [int(h["det_idx"]) for h in hands], results)
         self.store(state)
-        table = pd.DataFrame(out, columns=_names(IDENTITY_COLUMNS))
-        table["clip_id"], table["view_id"] = key[0], key[1]
-        for column in ("gap_ms", "track_id"):
-            table[column] = table[column].astype("Int64")
-        yield table
+        yield records([{"clip_id": key[0], "view_id": key[1], **r} for r in out], _names(IDENTITY_COLUMNS))
 
 
 def track_stream(frames: DataFrame, rules: TrackingRules = TrackingRules()) -> DataFrame:
@@ -161,11 +158,7 @@ class LifecycleProcessor(_JsonState):
                     lifecycle_step(state, int(f) - 1, None, self.confirmation)
                 out += lifecycle_step(state, int(f), partition if isinstance(partition, str) else None, self.confirmation)
         self.store(state)
-        table = pd.DataFrame(out, columns=_names(LIFECYCLE_COLUMNS))
-        table["clip_id"] = key[0]
-        for column in ("frame", "confirmed_at", "node_id", "birth_frame", "death_frame"):
-            table[column] = table[column].astype("Int64")
-        yield table
+        yield records([{"clip_id": key[0], **r} for r in out], _names(LIFECYCLE_COLUMNS))
 
 
 def lifecycle_stream(rows: DataFrame, confirmation: int = 3) -> DataFrame:
