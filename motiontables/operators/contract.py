@@ -79,7 +79,7 @@ def field_violations(leaves: DataFrame, rules: DataFrame, version_path: str = "$
     version travels with its leaves through one join on the document.
     """
     leaves = cut(leaves)  # the parse runs once for the four branches below
-    version = leaves.filter(F.col("path") == version_path).select("doc_id", F.col("text").alias("version"))
+    version = leaves.filter((F.col("path") == version_path) & (F.col("kind") == "string")).select("doc_id", F.col("text").alias("version"))
     tagged = leaves.join(version, "doc_id", "left").withColumn("version", F.coalesce("version", F.lit("1.0")))
     bad = tagged.filter(F.col("kind") == "invalid").select(
         "doc_id", F.lit("$").alias("path"), F.lit("json").alias("rule"), F.col("text").alias("message"))

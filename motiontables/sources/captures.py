@@ -56,7 +56,7 @@ def _leaf(doc_id, path, pattern, parent, value):
     if isinstance(value, bool):
         row.update(kind="boolean", flag=value)
     elif isinstance(value, (int, float)):
-        row.update(kind="number", number=float(value), is_integral=float(value) == math.floor(value))
+        row.update(kind="number", number=float(value), is_integral=float(value) == math.floor(value), text=json.dumps(value))
     elif isinstance(value, str):
         row.update(kind="string", text=value, size=len(value))
     elif isinstance(value, dict):
@@ -65,7 +65,7 @@ def _leaf(doc_id, path, pattern, parent, value):
         kinds = {type(v) for v in value}
         row.update(kind="list", size=len(value))
         if value and kinds <= {int, float}:
-            row.update(kind="numbers", numbers=[float(v) for v in value],
+            row.update(kind="numbers", numbers=[float(v) for v in value], text=json.dumps(value),
                        is_integral=all(float(v) == math.floor(v) for v in value))
         elif value and kinds == {str}:
             row.update(kind="strings", strings=value)
@@ -183,7 +183,10 @@ def upgrade_version(documents: DataFrame, source: str = "1.0", target: str = "1.
 
 
 def preserved(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Leaves, other than the version, that differ between two document sets (should be none)."""
+    """Leaves, other than the version, that differ between two document sets (should be none).
+
+    Number leaves keep their canonical text, so 1 and 1.0 differ as they do in JSON.
+    """
     def fingerprint(documents, tag):
         flat = leaves(documents).filter(F.col("path") != "$.format_version")
         digest = F.sha2(F.to_json(F.struct("kind", "number", "is_integral", "text", "flag", "size", "numbers",
