@@ -10,7 +10,7 @@ reuses the block partitioning, so the big side is shuffled once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +25,7 @@ class Scan:
     """One output column of :func:`block_scan`.
 
     kind: ``prev``/``next`` (neighbour row), ``last_known``/``next_known`` (nearest
-    non-null at or before/after the row), ``sum`` or ``max`` (inclusive running value),
+    non-null at or before/after the row), ``last_before`` (strictly before), ``sum`` or ``max`` (inclusive running value),
     ``max_before`` (running maximum of the earlier rows).
     """
 
@@ -82,6 +82,11 @@ def block_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans:
             summary.append(F.max_by(s.value, known).alias(raw))
             carried[theirs] = lambda a, raw=raw: F.last(raw, True).over(_before(a))
             final.append(F.coalesce(mine, theirs).alias(s.name))
+        elif s.kind == "last_before":
+            local.append(F.last(s.value, True).over(_before(w)).alias(mine))
+            summary.append(F.max_by(s.value, known).alias(raw))
+            carried[theirs] = lambda a, raw=raw: F.last(raw, True).over(_before(a))
+            final.append(F.coalesce(mine, theirs).alias(s.name))
         elif s.kind == "next_known":
             local.append(F.first(s.value, True).over(onward).alias(mine))
             summary.append(F.min_by(s.value, known).alias(raw))
@@ -109,3 +114,38 @@ def block_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scans:
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn",
                 width=FRAME_BLOCK) -> DataFrame:
     return block_scan(df, keys, order, [Scan("sum", F.lit(1).cast("long"), name)], width)
+
+
+def count_changes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
+                  changed: Callable[[Column, Column], Column], first: Callable[[Column], Column], name: str,
+                  width=FRAME_BLOCK, row_number: str | None = None) -> DataFrame:
+    """Running count of changes between neighbouring rows, in one pass over the blocks.
+
+    ``changed(previous, current)`` compares neighbours and ``first(current)`` judges the very
+    first row. A block contributes its first and last value and the changes inside it, so
+    neighbours across a border are compared on the summaries.
+    """
+    base = with_block(df, order[0], width).withColumn("__v", F.struct(value.alias("v")))
+    w = block_window(keys, order)
+    key = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+
+    def step(previous, current, at_start):
+        return F.when(previous.isNull(), at_start).otherwise(
+            F.coalesce(changed(previous.getField("v"), current.getField("v")).cast("long"), F.lit(0)))
+
+    inner = base.withColumn("__step", step(F.lag("__v").over(w), F.col("__v"), F.lit(0)).cast("long"))
+    scanned = inner.withColumn("__count", F.sum("__step").over(upto)).withColumn("__row", F.row_number().over(w))
+    blocks = inner.groupBy(*keys, BLOCK).agg(
+        F.min_by("__v", key).alias("__first"), F.max_by("__v", key).alias("__last"), F.sum("__step").alias("__inner"),
+        F.count(F.lit(1)).alias("__rows"))
+    across = Window.partitionBy(*keys).orderBy(BLOCK)
+    joint = step(F.lag("__last").over(across), F.col("__first"), first(F.col("__first.v")).cast("long"))
+    started = blocks.withColumn("__joint", joint).select(
+        *keys, BLOCK,
+        (F.sum("__joint").over(across.rowsBetween(Window.unboundedPreceding, 0))
+         + F.coalesce(F.sum("__inner").over(_before(across)), F.lit(0))).alias("__start"),
+        F.coalesce(F.sum("__rows").over(_before(across)), F.lit(0)).alias("__earlier"))
+    total = (F.col("__count") + F.col("__start")).alias(name)
+    extra = [(F.col("__row") + F.col("__earlier")).alias(row_number)] if row_number else []
+    return scanned.join(started, [*keys, BLOCK], "left").select(*[F.col(c) for c in df.columns], total, *extra)

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rotation import slerp
+from ..functions.rotation import PARALLEL_DOT
 from ..functions.vectors import dot, lerp_any, norm, scaled
-from .blocks import BLOCK, FRAME_BLOCK, Scan, block_scan, block_window, with_block
+from .blocks import FRAME_BLOCK, Scan, block_scan, count_changes
 
 OBSERVED, INTERPOLATED, HOLD = "observed", "interpolated", "endpoint_hold"
 
@@ -66,27 +66,10 @@ def continuous_signs(df: DataFrame, keys: Sequence[str], quat: str, frame: str =
     the sign is the parity of a running count. A block contributes its first and last
     sample and its inner parity; a dot product of zero does not flip.
     """
-    base = with_block(df, frame, width)
-    w = block_window(keys, [frame])
-    q = F.col(quat)
-    apart = (dot(q, F.lag(q).over(w), 4) < 0).cast("int")
-    inner = base.withColumn("__flip", F.coalesce(apart, F.lit(0)))
-    scanned = inner.withColumn("__parity", F.sum("__flip").over(
-        w.rowsBetween(Window.unboundedPreceding, 0)))
-    blocks = inner.groupBy(*keys, BLOCK).agg(
-        F.min_by(q, F.col(frame)).alias("__first"), F.max_by(q, F.col(frame)).alias("__last"),
-        F.sum("__flip").alias("__inner"))
-    across = Window.partitionBy(*keys).orderBy(BLOCK)
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    joint = F.when(F.lag("__last").over(across).isNull(), (F.col("__first").getItem(3) < 0).cast("int")) \
-        .otherwise((dot(F.col("__first"), F.lag("__last").over(across), 4) < 0).cast("int"))
-    carried = (blocks.withColumn("__joint", joint)
-               .select(*keys, BLOCK, (F.sum("__joint").over(across.rowsBetween(Window.unboundedPreceding, 0))
-                                      + F.coalesce(F.sum("__inner").over(before), F.lit(0))).alias("__start")))
-    sign = F.when((F.col("__parity") + F.col("__start")) % 2 == 0, 1.0).otherwise(-1.0)
-    return (scanned.join(carried, [*keys, BLOCK], "left")
-            .withColumn(quat, scaled(q, sign, 4))
-            .drop("__flip", "__parity", "__start", BLOCK))
+    counted = count_changes(df, keys, [frame], F.col(quat), lambda a, b: dot(a, b, 4) < 0,
+                            lambda q: q.getItem(3) < 0, "__flips", width)
+    sign = F.when(F.col("__flips") % 2 == 0, 1.0).otherwise(-1.0)
+    return counted.withColumn(quat, scaled(F.col(quat), sign, 4)).drop("__flips")
 
 
 def fill_rotations(df: DataFrame, keys: Sequence[str], quat: str, frame_count: Column | int,
@@ -98,10 +81,29 @@ def fill_rotations(df: DataFrame, keys: Sequence[str], quat: str, frame_count: C
     """
     signed = continuous_signs(df.select(*keys, frame, quat), keys, quat, frame, width)
     rows = expand_gaps(signed, keys, [quat], frame_count, frame, width)
-    value = F.when(F.col("alpha").isNull(), F.col(f"left.{quat}")).otherwise(
-        slerp(F.col(f"left.{quat}"), F.col(f"right.{quat}"), F.col("alpha")))
-    return rows.select(*keys, F.col("at").alias(frame), "sample_kind", "source_frames", "alpha",
-                       value.alias(quat))
+    return slerp_rows(rows, F.col(f"left.{quat}"), F.col(f"right.{quat}"), F.col("alpha"), quat).select(
+        *keys, F.col("at").alias(frame), "sample_kind", "source_frames", "alpha", quat)
+
+
+def slerp_rows(rows: DataFrame, first: Column, second: Column, alpha: Column, name: str) -> DataFrame:
+    """SLERP of whole rows in named steps, which the code generator compiles as plain arithmetic.
+
+    Rows without ``alpha`` keep the first value.
+    """
+    present = alpha.isNotNull()
+    sizes = rows.withColumn("__na", norm(first, 4)).withColumn("__nb", F.when(present, norm(second, 4)))
+    cosine = sizes.withColumn("__c", dot(first, second, 4) / (F.col("__na") * F.col("__nb")))
+    angles = cosine.withColumn("__near", F.abs("__c") > PARALLEL_DOT).withColumn(
+        "__t", F.acos(F.least(F.abs("__c"), F.lit(1.0))))
+    sine = F.sin("__t")
+    wa = F.when(F.col("__near"), 1 - alpha).otherwise(F.sin((1 - alpha) * F.col("__t")) / sine) / F.col("__na")
+    wb = F.when(F.col("__near"), alpha).otherwise(F.sin(alpha * F.col("__t")) / sine) / F.col("__nb")
+    weights = angles.withColumn("__wa", wa).withColumn("__wb", F.when(F.col("__c") < 0, -wb).otherwise(wb))
+    mixed = weights.withColumn("__m", F.array(*[
+        F.col("__wa") * first.getItem(i) + F.col("__wb") * second.getItem(i) for i in range(4)]))
+    scale = mixed.withColumn("__n", norm(F.col("__m"), 4))
+    return scale.withColumn(name, F.when(present, scaled(F.col("__m"), 1 / F.col("__n"), 4)).otherwise(first)).drop(
+        "__na", "__nb", "__c", "__near", "__t", "__wa", "__wb", "__m", "__n")
 
 
 def nearest_anchors(df: DataFrame, keys: Sequence[str], value: Column, frame: str = "frame",

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SAFE_ID_PATTERN, is_text
-from .blocks import FRAME_BLOCK, Scan, block_scan
+from .blocks import FRAME_BLOCK, Scan, block_scan, count_changes
 from .fold import sorted_fold
+from .lineage_cut import cut
 
 
 def canonical_partition(groups: Column) -> Column:
@@ -58,14 +59,12 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str
 
     ``start``/``end`` are values of ``order[0]``; null values form runs too.
     """
-    rows = df.select(*keys, *order, F.col(value).alias("__v"))
-    prev = block_scan(rows, keys, order, [Scan("prev", F.struct("__v"), "__p")], width)
-    opens = (F.col("__p").isNull() | ~F.col("__p.__v").eqNullSafe(F.col("__v"))).cast("long")
-    tagged = block_scan(prev.withColumn("__open", opens), keys, order, [
-        Scan("sum", F.col("__open"), "island"), Scan("sum", F.lit(1).cast("long"), "__rn")], width)
+    rows = df.select(*keys, *order, F.col(value).alias("__value"))
+    tagged = count_changes(rows, keys, order, F.col("__value"), lambda a, b: ~a.eqNullSafe(b), lambda v: F.lit(1),
+                           "island", width, row_number="__rn")
     return tagged.groupBy(*keys, "island").agg(
         F.min(order[0]).alias("start"), F.max(order[0]).alias("end"), F.count(F.lit(1)).alias("rows"),
-        F.min("__rn").alias("first_row"), F.first("__v", True).alias("value"))
+        F.min("__rn").alias("first_row"), F.first("__value", True).alias("value"))
 
 
 def confirmed_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, confirmation: int,
@@ -78,7 +77,7 @@ def confirmed_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], v
     an island is simply the previous long island's value.
     """
     isl = islands(df, keys, order, value, width)
-    long = isl.filter(F.col("value").isNotNull() & (F.col("rows") >= confirmation))
+    long = cut(isl.filter(F.col("value").isNotNull() & (F.col("rows") >= confirmation)))
     scanned = block_scan(long, keys, ["island"], [Scan("prev", F.col("value"), "previous")], island_width)
     changed = scanned.filter(F.col("previous").isNull() | (F.col("previous") != F.col("value")))
     return changed.select(*keys, "island", "start", "first_row",
@@ -94,7 +93,7 @@ def lifecycle_changes(df: DataFrame, keys: Sequence[str] = ("clip_id",), confirm
     because a rejected change leaves the old partition active.
     """
     rows = df.withColumn("__p", canonical_partition(F.col("groups")))
-    isl = islands(rows, keys, ["frame"], "__p", width).filter(F.col("value").isNotNull())
+    isl = cut(islands(rows, keys, ["frame"], "__p", width).filter(F.col("value").isNotNull()))
     long = isl.filter(F.col("rows") >= confirmation)
     linked = block_scan(long, keys, ["island"], [Scan("prev", F.col("value"), "before")], width)
     bad = linked.filter(F.col("before").isNotNull() & (F.col("before") != F.col("value"))
@@ -111,18 +110,12 @@ CHANGE_COLUMNS = "island bigint, start bigint, confirmed_at bigint, value string
 
 def _closed_form(isl: DataFrame, keys, confirmation, width) -> DataFrame:
     is_long = F.col("rows") >= confirmation
-    active = block_scan(isl, keys, ["island"], [
-        Scan("last_known", F.when(is_long, F.struct("island", "value")), "__long")], width)
-    # Active *before* the island: for a long island, the long island before it.
-    prior = block_scan(active, keys, ["island"], [Scan("prev", F.col("__long"), "__before")], width)
-    before = F.col("__before.value")
-    seen = F.when(before == F.col("value"), F.col("end"))
-    opened = F.when(is_long, F.col("end"))
-    last = block_scan(prior.withColumn("__seen", F.coalesce(seen, opened)), keys, ["island"], [
-        Scan("prev", F.struct(F.lit(1)), "__any"),
-        Scan("last_known", F.col("__seen"), "__upto")], width)
-    # The value carried to an island is the one known before it.
-    lagged = block_scan(last, keys, ["island"], [Scan("prev", F.col("__upto"), "last_old")], width)
+    # Active before an island: the value of the long island before it.
+    prior = block_scan(isl, keys, ["island"], [
+        Scan("last_before", F.when(is_long, F.col("value")), "__before")], width)
+    before = F.col("__before")
+    seen = F.when(is_long | (before == F.col("value")), F.col("end"))
+    lagged = block_scan(prior, keys, ["island"], [Scan("last_before", seen, "last_old")], width)
     changed = lagged.filter(is_long & (before.isNull() | (before != F.col("value"))))
     return changed.select(*keys, F.col("island").cast("long"), F.col("start").cast("long").alias("start"),
                           (F.col("start") + confirmation - 1).cast("long").alias("confirmed_at"), "value",

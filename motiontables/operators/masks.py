@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import object_mask_status, pair_mask_status
 from .blocks import FRAME_BLOCK, Scan, block_scan
+from .lineage_cut import cut
 from .ranges import coverage_segments, interval_difference, merged_intervals, union_length
 
 FRAME_KEYS = ("clip_id", "frame")
@@ -100,7 +101,7 @@ def interior_support(base_runs: DataFrame, lit_runs: DataFrame, keys: Sequence[s
     """
     keys = list(keys)
     k = [*keys, "y"]
-    base = merged_intervals(base_runs.select(*k, "x0", "x1"), k, "x0", "x1")
+    base = cut(merged_intervals(base_runs.select(*k, "x0", "x1"), k, "x0", "x1"))  # read three times below
     parts = (base.select(*k, (F.col("x0") + 1).alias("x0"), (F.col("x1") - 1).alias("x1"), F.lit(1).alias("layer"))
              .unionByName(base.select(*keys, (F.col("y") + 1).alias("y"), "x0", "x1", F.lit(2).alias("layer")))
              .unionByName(base.select(*keys, (F.col("y") - 1).alias("y"), "x0", "x1", F.lit(3).alias("layer")))
@@ -111,7 +112,7 @@ def interior_support(base_runs: DataFrame, lit_runs: DataFrame, keys: Sequence[s
         F.struct(F.col("x1").alias("pos"), F.lit(-1).alias("step")))))
     points = borders.groupBy(*k, "pos").agg(*[
         F.sum(F.when(F.col("layer") == i, F.col("step")).otherwise(0)).alias(f"__d{i}") for i in range(1, 5)])
-    swept = block_scan(points, k, ["pos"], [Scan("sum", F.col(f"__d{i}"), f"n{i}") for i in range(1, 5)]
+    swept = block_scan(cut(points), k, ["pos"], [Scan("sum", F.col(f"__d{i}"), f"n{i}") for i in range(1, 5)]
                        + [Scan("next", F.col("pos"), "until")])
     length = F.coalesce(F.col("until") - F.col("pos"), F.lit(0))
     inner = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)

@@ -13,34 +13,48 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage_cut import cut
+
 SKETCH = 10000
+SMALL_GROUP = 100_000
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float],
-                    sketch: int = SKETCH) -> DataFrame:
-    """One row per group: ``n`` (values present) and one column per named probability."""
+                    sketch: int = SKETCH, small: int = SMALL_GROUP) -> DataFrame:
+    """One row per group: ``n`` (values present) and one column per named probability.
+
+    Groups up to ``small`` values use the built-in exact aggregate, whose state they bound.
+    Larger groups are found by a cheap count first; the driver only learns whether any exist.
+    """
     if not keys:
-        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, sketch)
+        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, sketch, small)
         return whole.drop("__all")
+    keys = list(keys)
+    data = df.select(*keys, value.cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    large = cut(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select(*keys))
+    if large.isEmpty():
+        return bounded_quantiles(data, keys, F.col("__v"), probs)
+    rest = bounded_quantiles(data.join(large, keys, "left_anti"), keys, F.col("__v"), probs)
+    return rest.unionByName(_bracketed(data.join(large, keys, "left_semi"), keys, probs, sketch))
+
+
+def _bracketed(data: DataFrame, keys: list[str], probs: dict[str, float], sketch: int) -> DataFrame:
     names, points = list(probs), [float(p) for p in probs.values()]
     slack = 3.0 / sketch
     cuts = [min(max(p + d, 0.0), 1.0) for p in points for d in (-slack, slack)]
-    data = df.select(*keys, value.cast("double").alias("__v")).filter(
-        F.col("__v").isNotNull() & ~F.isnan("__v"))
     bounds = data.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
         F.percentile_approx("__v", [float(c) for c in cuts], sketch).alias("__cut"))
-    # Small groups keep their whole range; in larger ones the slack covers the sketch error
-    # and the one-rank gap between p*n and p*(n-1).
-    small = F.col("n") <= 4 * sketch
-    edges = [F.when(small | F.lit(c <= 0.0 or c >= 1.0), F.col("__min" if i % 2 == 0 else "__max"))
+    # Below this size the one-rank gap between p*n and p*(n-1) exceeds the slack.
+    whole = F.col("n") <= 4 * sketch
+    edges = [F.when(whole | F.lit(c <= 0.0 or c >= 1.0), F.col("__min" if i % 2 == 0 else "__max"))
              .otherwise(F.col("__cut").getItem(i)) for i, c in enumerate(cuts)]
     located = bounds.select(*keys, "n", F.array(*edges).alias("__edge"))
     targets = F.array(*[F.struct(
         F.lit(i).alias("__i"), F.lit(p).alias("__p"),
         F.col("__edge").getItem(2 * i).alias("__lo"), F.col("__edge").getItem(2 * i + 1).alias("__hi"))
         for i, p in enumerate(points)])
-    tagged = data.join(located, list(keys))
+    tagged = data.join(located, keys)
     point = [*keys, "n", "__i", "__p"]
     # Values below a bracket collapse to one counter; values inside stay, counted per value.
     placed = tagged.select(*keys, "n", "__v", F.inline(targets)).filter(F.col("__v") <= F.col("__hi")).select(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import FRAME_BLOCK, Scan, block_scan
+from .lineage_cut import cut
 
 
 def frame_ranges(df: DataFrame, keys: Sequence[str], frame: str = "frame",
@@ -63,7 +64,7 @@ def merged_intervals(df: DataFrame, keys: Sequence[str], low: str, high: str, wi
     reach = block_scan(valid, keys, [low, high], [Scan("max_before", F.col(high), "__reach")], width)
     opens = reach.withColumn("__new", F.when(F.col("__reach").isNull() | (F.col(low) > F.col("__reach")), 1)
                              .otherwise(0).cast("long"))
-    grouped = block_scan(opens, keys, [low, high], [Scan("sum", F.col("__new"), "__island")], width)
+    grouped = block_scan(cut(opens), keys, [low, high], [Scan("sum", F.col("__new"), "__island")], width)
     return (grouped.groupBy(*keys, "__island").agg(F.min(low).alias(low), F.max(high).alias(high))
             .drop("__island"))
 

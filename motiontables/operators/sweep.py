@@ -112,12 +112,12 @@ def select_focal(frames: DataFrame, keys: Sequence[str], hand_length: float,
         marks, F.coalesce(_events(F.col("all"), "frame"), empty),
         F.flatten(F.transform("single", lambda s: F.coalesce(_events(s, "gate"), empty))))))
     is_frame, is_gate = F.col("what") == "frame", F.col("what") == "gate"
-    points = events.filter(F.col("pos") < INF).groupBy(*keys, "pos").agg(
+    points = cut(events.filter(F.col("pos") < INF).groupBy(*keys, "pos").agg(
         F.bool_or(F.col("what") == "mark").alias("is_mark"),
         F.sum(F.when(is_frame, F.col("right")).otherwise(0)).alias("f_right"),
         F.sum(F.when(is_frame, F.col("at")).otherwise(0)).alias("f_at"),
         F.sum(F.when(is_gate, F.col("right")).otherwise(0)).alias("g_right"),
-        F.sum(F.when(is_gate, F.col("at")).otherwise(0)).alias("g_at"))
+        F.sum(F.when(is_gate, F.col("at")).otherwise(0)).alias("g_at")))
     mark = F.when(F.col("is_mark"), F.col("pos"))
     log_block = F.when(F.col("pos") > 0, F.floor(F.log("pos") * LOG_BLOCKS)).otherwise(-(1 << 40))
     scanned = block_scan(points, keys, ["pos"], [

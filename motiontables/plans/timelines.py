@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.camera import source_frame, timestamp_ms
 from ..functions.rotation import quat_to_axis_angle
 from ..functions.text import range_text
-from ..functions.vectors import norm
+from ..functions.vectors import let, norm
 from ..operators import fill, ranges, selection, timeline
 from ..sources.warehouse import FRAMES_PER_CLIP, event_ms, observations, table
 from .base import EVENT_MS, GROUPS, OBS, Catalog
@@ -329,7 +329,7 @@ def fill_rotation(spark, base) -> DataFrame:
     q = F.col("quat")
     return d.select("clip_id", "side", "frame", "sample_kind", (F.round(q.getItem(2), 8) + 0.0).alias("qz"),
                     (F.round(q.getItem(3), 8) + 0.0).alias("qw"),
-                    F.round(norm(quat_to_axis_angle(q)), 8).alias("angle"))
+                    F.round(let(quat_to_axis_angle(q), lambda v: norm(v)), 8).alias("angle"))
 
 
 @catalog.add("quaternion_signs", f"""
