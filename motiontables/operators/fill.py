@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.rotation import PARALLEL_DOT
 from ..functions.vectors import dot, lerp_any, norm, scaled
 from .blocks import FRAME_BLOCK, Scan, block_scan, count_changes
+from .lineage_cut import cut
 
 OBSERVED, INTERPOLATED, HOLD = "observed", "interpolated", "endpoint_hold"
 
@@ -79,7 +80,8 @@ def fill_rotations(df: DataFrame, keys: Sequence[str], quat: str, frame_count: C
     Interpolated samples keep the sign of their left endpoint and never point away from
     either endpoint, so signs are settled on the sparse observations before expanding.
     """
-    signed = continuous_signs(df.select(*keys, frame, quat), keys, quat, frame, width)
+    # The gap scan reads its input twice; the sparse signed observations are materialised once.
+    signed = cut(continuous_signs(df.select(*keys, frame, quat), keys, quat, frame, width))
     rows = expand_gaps(signed, keys, [quat], frame_count, frame, width)
     return slerp_rows(rows, F.col(f"left.{quat}"), F.col(f"right.{quat}"), F.col("alpha"), quat).select(
         *keys, F.col("at").alias(frame), "sample_kind", "source_frames", "alpha", quat)

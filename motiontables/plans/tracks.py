@@ -86,7 +86,7 @@ def association_costs(spark, base) -> DataFrame:
 
 
 @catalog.add("best_assignment", """
-WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_discount < 0.09 THEN l_discount * 20 END AS c00,
+WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_discount < 0.09 THEN l_discount * 20 END AS c00,
   CASE WHEN l_tax < 0.07 THEN l_tax * 25 END AS c01, CASE WHEN l_quantity < 45 THEN l_quantity / 25 END AS c10,
   CASE WHEN l_linenumber < 6 THEN l_linenumber / 4.0 END AS c11 FROM lineitem),
 o AS (
@@ -95,7 +95,7 @@ o AS (
   UNION ALL SELECT *, c00 + 1.25, 3, 0, -1 FROM c UNION ALL SELECT *, c00 + c11, 4, 0, 1 FROM c
   UNION ALL SELECT *, c01 + 1.25, 5, 1, -1 FROM c UNION ALL SELECT *, c01 + c10, 6, 1, 0 FROM c),
 r AS (SELECT *, row_number() OVER w AS rn, lead(cost) OVER w - cost AS margin FROM o WHERE cost IS NOT NULL
-      WINDOW w AS (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY cost, tie))
+      WINDOW w AS (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ORDER BY cost, tie))
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(cost, 8) AS cost, a AS "first", b AS "second", round(margin, 8) AS margin FROM r WHERE rn = 1
 """)
 def best_assignment(spark, base) -> DataFrame:
