@@ -162,13 +162,13 @@ def test_hopping_windows_are_right_aligned(spark):
         assert got == {(s, f) for s in starts for f in range(s, s + size)}
 
 
-@pytest.mark.parametrize("sketch", [20, 10000])
-def test_exact_quantiles_equal_numpy(spark, sketch):
+@pytest.mark.parametrize("sketch,small", [(20, 3), (10000, 3), (10000, 100000)])
+def test_exact_quantiles_equal_numpy(spark, sketch, small):
     rng = np.random.default_rng(5)
     groups = {"big": rng.integers(0, 400, 5000) / 7, "small": rng.normal(size=9), "one": np.array([4.0]), "ties": np.ones(800)}
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
     probs = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = {r.k: r for r in exact_quantiles(df, ["k"], F.col("v"), probs, sketch).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], F.col("v"), probs, sketch, small).collect()}
     for k, vs in groups.items():
         assert got[k].n == len(vs)
         for name, p in probs.items():
