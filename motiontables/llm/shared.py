@@ -89,22 +89,24 @@ def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
-def parted(df: DataFrame, column: str, ids: DataFrame, ids_column: str) -> tuple[DataFrame, DataFrame]:
-    """(rows of ``df`` whose id is not in ``ids``, the others and a few more): the row filter runs next to the scan."""
-    shared = df.sparkSession.sparkContext.broadcast(id_filter(ids, ids_column))
+def having(df: DataFrame, column: str, shared, inside: bool) -> DataFrame:
+    """The rows whose id a broadcast row filter lets through, or the others."""
     place = df.columns.index(column)
 
-    def side(inside: bool):
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = shared.value
-            for batch in batches:
-                own = batch.column(place)
-                found = passes(bits, own.cast("int64").fill_null(0).to_numpy(zero_copy_only=False)) & own.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(found == inside))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(place)
+            found = passes(shared.value, own.cast("int64").fill_null(0).to_numpy(zero_copy_only=False)) & own.is_valid().to_numpy(
+                zero_copy_only=False)
+            yield batch.filter(pa.array(found == inside))
+
+    return df.mapInArrow(keep, df.schema)
 
-        return df.mapInArrow(keep, df.schema)
 
-    return side(False), side(True)
+def parted(df: DataFrame, column: str, ids: DataFrame, ids_column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose id is not in ``ids``, the others and a few more): the row filter runs next to the scan."""
+    shared = df.sparkSession.sparkContext.broadcast(id_filter(ids, ids_column))
+    return having(df, column, shared, False), having(df, column, shared, True)
 
 
 def narrowed(df: DataFrame, column: str, ids: DataFrame, ids_column: str) -> DataFrame:

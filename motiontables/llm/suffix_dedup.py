@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_views, mix64, narrowed, parted, stream, written
+from .shared import binary_views, having, id_filter, mix64, narrowed, parted, passes, stream, written
 from .words import byte_slices, prefix_hash, span_hash
 
 WINDOW, GRAM = 50, 20
 REACH = WINDOW - GRAM + 1  # grams in a window
 FILTER_BITS = 28  # 32 MiB
 BLOCK_BYTES = 8 << 20  # of text a hash block stands for
-HELD_ROWS = 200_000
+HELD_ROWS = 60_000
 SHARD_BYTES, SHARDS = 256 << 10, 4
 RAW, RAW_TOO = stream(41, 256), stream(42, 256)
 
@@ -130,8 +130,9 @@ TRAVEL_SQL = "gram long, one long, two long, doc_id long, key long, first long,
 SETTLED_SQL = "doc_id long, key long, first long, starts int, mask long"
 
 
-def travelling(reps: DataFrame, shared) -> DataFrame:
-    """The texts around minimisers that may be repeated; rows without a text are settled: all their starts go."""
+def travelling(reps: DataFrame, shared, skipped=None) -> DataFrame:
+    """The texts around minimisers that may be repeated; rows without a text are settled: all their starts go.
+    Rows that the row filter ``skipped`` lets through are left out."""
     def told(held: list[tuple]) -> pa.RecordBatch:
         gram, one, two, doc, key, first, starts = (np.concatenate([h[i] for h in held]) for i in range(7))
         size = np.concatenate([h[7] for h in held])
@@ -153,6 +154,8 @@ def travelling(reps: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, rows = shared.value, [], 0
         for batch in batches:
+            if skipped is not None:
+                batch = batch.filter(pa.array(~passes(skipped.value, batch.column(0).to_numpy(zero_copy_only=False))))
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for at, offsets, data in byte_slices(batch.column(1)):
                 doc, first, starts, gram = runs(offsets, data)
@@ -310,7 +313,7 @@ def decided(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if rest is not None:
                 batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            if len(batch) < HELD_ROWS // 4:
+            if len(batch) < HELD_ROWS // 2:
                 rest = batch
                 continue
             gram = batch.column(0).to_numpy()
@@ -385,9 +388,11 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.where("doc_id IS NOT NULL").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     shared = docs.sparkSession.sparkContext.broadcast(repeated_minimisers(texts, total))
     copies = rows.where("copy").select(F.col("doc_id").alias("copy_id"), F.col("key").alias("copy_key")).distinct()
-    rest, maybe = parted(texts, "doc_id", copies, "copy_id")
-    first = maybe.join(copies, (F.col("doc_id") == F.col("copy_id")) & (F.col("key") == F.col("copy_key")), "left_anti")
-    return rows, written(spans_of(decided(travelling(rest.unionByName(first), shared))))
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(copies, "copy_id"))
+    first = having(texts, "doc_id", bits, True).join(
+        copies, (F.col("doc_id") == F.col("copy_id")) & (F.col("key") == F.col("copy_key")), "left_anti")
+    rows_of = travelling(texts, shared, bits).unionByName(travelling(first, shared))
+    return rows, written(spans_of(decided(rows_of)))
 
 
 def own_columns(docs: DataFrame) -> DataFrame:
