@@ -28,10 +28,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,11 +83,14 @@ def summaries(docs: DataFrame) -> DataFrame:
                        F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha256"))
 
 
+def block_bits(total_bytes: int) -> int:
+    """Work is dealt to 2**bits blocks, each for about BLOCK_BYTES of text."""
+    return min(max(6, int(total_bytes // BLOCK_BYTES).bit_length()), FILTER_BITS - 3)
+
+
 def repeated_minimisers(docs: DataFrame, total_bytes: int) -> np.ndarray:
     """The filter: bit ``hash >> (64 - FILTER_BITS)`` is set for every minimiser that two documents have."""
-    bits = max(6, int(total_bytes // BLOCK_BYTES).bit_length())
-    if bits > FILTER_BITS - 3:
-        bits = FILTER_BITS - 3
+    bits = block_bits(total_bytes)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,32 +129,81 @@ def repeated_minimisers(docs: DataFrame, total_bytes: int) -> np.ndarray:
     return out
 
 
-TRAVEL = pa.schema([("gram", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()),
-                    ("first", pa.int64()), ("starts", pa.int32()), ("text", pa.binary())])
-TRAVEL_SQL = "gram long, one long, two long, doc_id long, key long, first long, starts int, text binary"
-SETTLED_SQL = "doc_id long, key long, first long, starts int, mask long"
+SETTLED_SQL = "doc_id long, key long, first long, mask long"
+
+
+@dataclass
+class Texts:
+    """Texts around minimisers, as columns; a settled one has no bytes any more, all its starts go."""
+
+    gram: np.ndarray
+    doc: np.ndarray
+    key: np.ndarray
+    first: np.ndarray
+    starts: np.ndarray
+    size: np.ndarray  # bytes of each text, 0 when settled
+    data: np.ndarray
+
+    COLUMNS = (("gram", np.uint32), ("doc", np.int64), ("key", np.int64), ("first", np.int64), ("starts", np.uint8), ("size", np.uint8))
+
+    @classmethod
+    def joined(cls, parts: list[Texts]) -> Texts:
+        return cls(*(np.concatenate([getattr(p, n) for p in parts]) for n in (*(c for c, _ in cls.COLUMNS), "data")))
+
+    @property
+    def begin(self) -> np.ndarray:
+        return np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def taken(self, at: np.ndarray) -> Texts:
+        size = self.size[at].astype(np.int64)
+        where = np.repeat(self.begin[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return Texts(*(getattr(self, n)[at] for n, _ in self.COLUMNS), self.data[where])
+
+    def packed(self) -> bytes:
+        """Sorted by gram, so that neighbours are alike, and compressed column by column."""
+        columns = [getattr(self, n).astype(kind) for n, kind in self.COLUMNS]
+        columns[0] = np.diff(columns[0], prepend=np.uint32(0))
+        raw = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns)
+        return len(self.gram).to_bytes(4, "little") + zstandard.compress(raw + self.data.tobytes(), 1)
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Texts:
+        n, raw = int.from_bytes(blob[:4], "little"), zstandard.decompress(blob[4:])
+        at, columns = 0, []
+        for _, kind in cls.COLUMNS:
+            wide = np.dtype(kind).itemsize
+            columns.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n).T).view(kind).reshape(-1))
+            at += n * wide
+        columns[0] = np.cumsum(columns[0], dtype=np.uint32)
+        return cls(*columns, np.frombuffer(raw, np.uint8, -1, at))
+
+
+def folded(texts: Texts, one: np.ndarray, two: np.ndarray) -> Texts:
+    """Of equal texts (by their two hashes) only those of the smallest document keep their bytes. Sorted by gram."""
+    order = np.lexsort((texts.doc, two, one))
+    same = np.zeros(len(order), bool)
+    same[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    settled = np.zeros(len(order), bool)
+    settled[order] = same & (texts.doc[order] > texts.doc[order][lead])
+    keep = np.repeat(~settled, texts.size)
+    with np.errstate(over="ignore"):
+        spread = (mix64(texts.first.view(np.uint64) * np.uint64(31) + texts.doc.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+    out = Texts(np.where(settled, spread, texts.gram), texts.doc, texts.key, texts.first, texts.starts,
+                np.where(settled, 0, texts.size).astype(np.uint8), texts.data[keep])
+    return out.taken(np.argsort(out.gram, kind="stable"))
 
 
-def travelling(reps: DataFrame, shared, skipped=None) -> DataFrame:
-    """The texts around minimisers that may be repeated; rows without a text are settled: all their starts go.
+def travelling(reps: DataFrame, shared, blocks: int, skipped=None) -> DataFrame:
+    """(block, texts): the texts around minimisers that may be repeated, dealt by minimiser to 2**blocks blocks.
     Rows that the row filter ``skipped`` lets through are left out."""
     def told(held: list[tuple]) -> pa.RecordBatch:
-        gram, one, two, doc, key, first, starts = (np.concatenate([h[i] for h in held]) for i in range(7))
-        size = np.concatenate([h[7] for h in held])
-        data = np.concatenate([h[8] for h in held])
-        order = np.lexsort((doc, two, one))
-        same = np.zeros(len(order), bool)
-        same[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (
-            starts[order][1:] == starts[order][:-1])
-        # The first of a run is its smallest document; equal documents stay open beside it.
-        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        settled = np.zeros(len(order), bool)
-        settled[order] = same & (doc[order] > doc[order][lead])
-        keep = np.where(settled, 0, size)
-        take = np.repeat(np.cumsum(size) - size, keep) + np.arange(keep.sum()) - np.repeat(np.cumsum(keep) - keep, keep)
-        views = binary_views(np.concatenate([[0], np.cumsum(keep)]), data[take])
-        spread = np.where(settled, mix64(first.view(np.uint64) + one.view(np.uint64) + doc.view(np.uint64)).view(np.int64), gram)
-        return pa.RecordBatch.from_arrays([pa.array(spread), *(pa.array(x) for x in (one, two, doc, key, first, starts)), views], schema=TRAVEL)
+        texts = folded(Texts.joined([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held]))
+        block = (texts.gram >> np.uint32(32 - blocks)).astype(np.int64)
+        edge = np.searchsorted(block, np.arange((1 << blocks) + 1))
+        full = np.flatnonzero(np.diff(edge))
+        blobs = [texts.taken(np.arange(edge[k], edge[k + 1])).packed() for k in full]
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["block", "texts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, rows = shared.value, [], 0
@@ -166,11 +220,11 @@ def travelling(reps: DataFrame, shared, skipped=None) -> DataFrame:
                     continue
                 size = starts + WINDOW - 1
                 with np.errstate(over="ignore"):
-                    one = mix64(span_hash(prefix_hash(data, RAW), first, first + size)).view(np.int64)
-                    two = mix64(span_hash(prefix_hash(data, RAW_TOO), first, first + size)).view(np.int64)
+                    one = span_hash(prefix_hash(data, RAW), first, first + size)
+                    two = span_hash(prefix_hash(data, RAW_TOO), first, first + size) + size.astype(np.uint64)
                 take = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-                held.append((gram.view(np.int64), one, two, ids[at + doc], keys[at + doc], first - offsets[doc],
-                             starts.astype(np.int32), size, data[take]))
+                held.append((Texts((gram >> np.uint64(32)).astype(np.uint32), ids[at + doc], keys[at + doc], first - offsets[doc],
+                                   starts.astype(np.uint8), size.astype(np.uint8), data[take]), one, two))
                 rows += len(doc)
                 if rows >= HELD_ROWS:
                     yield told(held)
@@ -178,7 +232,7 @@ def travelling(reps: DataFrame, shared, skipped=None) -> DataFrame:
         if held:
             yield told(held)
 
-    return reps.mapInArrow(run, TRAVEL_SQL)
+    return reps.mapInArrow(run, "block int, texts binary")
 
 
 def transform(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,66 +323,57 @@ def interval_documents(texts: list[np.ndarray], docs: np.ndarray) -> list[np.nda
 
 
 def decided(rows: DataFrame) -> DataFrame:
-    """doc_id, key, first, starts, mask: bit i says that the window at first + i is to go."""
-    dealt = rows.repartition("gram").sortWithinPartitions("gram", "one", "two", "starts", "doc_id")
-
-    def settle(part: pa.RecordBatch) -> pa.RecordBatch:
-        gram, one, two, doc, starts = (part.column(i).to_numpy() for i in (0, 1, 2, 3, 6))
-        place, raw = _offsets(part.column(7)), np.frombuffer(part.column(7).buffers()[2] or b"", np.uint8)
-        settled = np.diff(place) == 0
-        full = (np.uint64(1) << starts.astype(np.uint64)) - np.uint64(1)
-        mask = np.where(settled, full, np.uint64(0))
-        live = np.flatnonzero(~settled)
+    """doc_id, key, first, mask: bit i says that the window at first + i is to go. A block has a bounded share of the text."""
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        texts = Texts.joined([Texts.unpacked(x) for x in part["texts"]])
+        settled = texts.size == 0
+        mask = np.where(settled, (np.uint64(1) << texts.starts.astype(np.uint64)) - np.uint64(1), np.uint64(0))
+        place = texts.begin
+        with np.errstate(over="ignore"):
+            live = np.flatnonzero(~settled)
+            end = place[live] + texts.size[live]
+            one, two = (span_hash_long(texts.data, value, place[live], end) for value in (RAW, RAW_TOO))
+        order = np.lexsort((texts.doc[live], two, one, texts.gram[live]))
+        live, one, two = live[order], one[order], two[order]
+        g, d = texts.gram[live], texts.doc[live]
         if len(live):
-            g, a, b, d, s = gram[live], one[live], two[live], doc[live], starts[live]
-            new_text = np.concatenate([[True], (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1])])
             new_gram = np.concatenate([[True], g[1:] != g[:-1]])
+            new_text = new_gram | np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
             lead = np.maximum.accumulate(np.where(new_text, np.arange(len(live)), 0))
-            mask[live] = np.where(d > d[lead], full[live], 0)
-            texts_of = np.bincount(np.cumsum(new_gram) - 1, weights=new_text)[np.cumsum(new_gram) - 1]
-            several = np.flatnonzero(new_text & (texts_of > 1))
-            docs_of = np.cumsum(new_gram)[several]
+            full = (np.uint64(1) << texts.starts[live].astype(np.uint64)) - np.uint64(1)
+            number = np.cumsum(new_gram) - 1
+            several = np.flatnonzero(new_text & (np.bincount(number, weights=new_text)[number] > 1))
             low = np.zeros(len(live), np.uint64)
             begin = 0
             while begin < len(several):  # whole minimisers, about SHARDS shards at a time
                 end = min(len(several), begin + SHARDS * SHARD_BYTES // 66)
-                while end < len(several) and docs_of[end] == docs_of[end - 1]:
+                while end < len(several) and number[several[end]] == number[several[end - 1]]:
                     end += 1
                 some = several[begin:end]
-                at = live[some]
-                found = interval_documents([raw[place[i]: place[i + 1]] for i in at], d[some])
+                found = interval_documents([texts.data[place[i]: place[i] + texts.size[i]] for i in live[some]], d[some])
                 for i, x, own in zip(some.tolist(), found, d[some].tolist()):
                     hit = np.flatnonzero(x < own)
                     if len(hit):
                         low[i] = np.bitwise_or.reduce(np.uint64(1) << hit.astype(np.uint64))
                 begin = end
-            same = d == d[lead]  # rows of the leading document share its answer
-            mask[live[same]] |= low[lead[same]]
-        keep = pa.array(mask != 0)
-        return pa.RecordBatch.from_arrays([*(part.column(i) for i in (3, 4, 5, 6)), pa.array(mask.view(np.int64))],
-                                          ["doc_id", "key", "first", "starts", "mask"]).filter(keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            if rest is not None:
-                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
-            if len(batch) < HELD_ROWS // 2:
-                rest = batch
-                continue
-            gram = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(gram, gram[-1]))
-            if cut:
-                yield settle(batch.slice(0, cut))
-            rest = batch.slice(cut)
-        if rest is not None and len(rest):
-            yield settle(rest)
-
-    return dealt.mapInArrow(run, SETTLED_SQL)
-
-
-def _offsets(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(column.buffers()[1], np.int32)[column.offset: column.offset + len(column) + 1].astype(np.int64)
+            mask[live] = np.where(d > d[lead], full, low[lead])  # rows of the leading document share its answer
+        keep = mask != 0
+        return pd.DataFrame({"doc_id": texts.doc[keep], "key": texts.key[keep], "first": texts.first[keep],
+                             "mask": mask[keep].view(np.int64)})
+
+    return rows.groupBy("block").applyInPandas(settle, SETTLED_SQL)
+
+
+def span_hash_long(data: np.ndarray, value: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """``span_hash`` over a long buffer, some megabytes at a time; spans follow each other."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + most, "right")))
+        own = data[start[at]: end[to - 1]]
+        out[at:to] = span_hash(prefix_hash(own, value), start[at:to] - start[at], end[at:to] - start[at])
+        at = to
+    return out
 
 
 def spans_of(marks: DataFrame) -> DataFrame:
@@ -338,7 +383,7 @@ def spans_of(marks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, spans = None, []
         for batch in batches:
-            doc, key, first, mask = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            doc, key, first, mask = (batch.column(i).to_numpy() for i in range(4))
             bit = (mask.view(np.uint64)[:, None] >> np.arange(32, dtype=np.uint64)) & np.uint64(1) != 0
             row, at = np.nonzero(bit)
             start = first[row] + at
@@ -391,7 +436,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(copies, "copy_id"))
     first = having(texts, "doc_id", bits, True).join(
         copies, (F.col("doc_id") == F.col("copy_id")) & (F.col("key") == F.col("copy_key")), "left_anti")
-    rows_of = travelling(texts, shared, bits).unionByName(travelling(first, shared))
+    blocks = block_bits(total)
+    rows_of = travelling(texts, shared, blocks, bits).unionByName(travelling(first, shared, blocks))
     return rows, written(spans_of(decided(rows_of)))
 
 
@@ -403,8 +449,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (first and end byte of removed runs)."""
     docs = own_columns(docs)
     rows, spans = repeated_spans(docs)
-    texts = narrowed(docs, "doc_id", spans, "doc_id").withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).join(
-        spans, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "text", "spans")
+    keyed = narrowed(docs, "doc_id", spans, "doc_id").withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = keyed.join(spans, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
