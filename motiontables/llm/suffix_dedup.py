@@ -42,9 +42,10 @@ from .words import byte_slices, prefix_hash, span_hash
 
 WINDOW, GRAM = 50, 20
 REACH = WINDOW - GRAM + 1  # grams in a window
-FILTER_BITS = 28  # 32 MiB
+FILTER_BITS = 27  # 16 MiB
 BLOCK_BYTES = 8 << 20  # of text a hash block stands for
 HELD_ROWS = 60_000
+SCAN_BYTES = 256 << 10
 SHARD_BYTES, SHARDS = 256 << 10, 4
 RAW, RAW_TOO = stream(41, 256), stream(42, 256)
 
@@ -94,7 +95,7 @@ def repeated_minimisers(docs: DataFrame, total_bytes: int) -> np.ndarray:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, offsets, data in byte_slices(batch.column(1)):
+            for _, offsets, data in byte_slices(batch.column(1), SCAN_BYTES):
                 doc, _, _, gram = runs(offsets, data)
                 if not len(gram):
                     continue
@@ -211,7 +212,7 @@ def travelling(reps: DataFrame, shared, blocks: int, skipped=None) -> DataFrame:
             if skipped is not None:
                 batch = batch.filter(pa.array(~passes(skipped.value, batch.column(0).to_numpy(zero_copy_only=False))))
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            for at, offsets, data in byte_slices(batch.column(1)):
+            for at, offsets, data in byte_slices(batch.column(1), SCAN_BYTES):
                 doc, first, starts, gram = runs(offsets, data)
                 slot = gram >> np.uint64(64 - FILTER_BITS)
                 maybe = (bits[(slot >> np.uint64(3)).astype(np.int64)] << (slot & np.uint64(7)).astype(np.uint8)) & 128 != 0

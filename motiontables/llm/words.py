@@ -82,12 +82,12 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return place, raw
 
 
-def byte_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first document, offsets from 0, bytes) for runs of whole documents of about SLICE_BYTES."""
+def byte_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first document, offsets from 0, bytes) for runs of whole documents of about ``size`` bytes."""
     place, raw = bytes_of(column)
     at, n = 0, len(place) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(place, place[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(place, place[at] + size, "right")) - 1)
         yield at, place[at: to + 1] - place[at], raw[place[at]: place[to]]
         at = to
 
