@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import mix64, narrowed, written
 from .words import NOT_SPACE, Slice, slices
 
-KNOWN, CLASSES = 1024, 1024
+KNOWN, CLASSES = 1024, 256
 WORDS = KNOWN + CLASSES
 BEGIN = WORDS  # the context of a first token
 SMOOTHING = 16.0
