@@ -30,7 +30,7 @@ from .fitting import Logistic, labelled_ids, sigmoid
 from .shared import mix64
 from .words import ALNUM, BYTE_VALUE, Slice, prefix_hash, slices, span_hash
 
-PER_CLASS, LONGEST = 4_000, 200_000
+PER_CLASS, LONGEST = 2_500, 200_000
 TABLE_BITS, KINDS = 17, 5  # weights per kind of feature; word, word before, word after, beginning, end
 PIECE = 32
 STEPS, RATE = 40, 0.5
