@@ -42,7 +42,7 @@ from .words import byte_slices, prefix_hash, span_hash
 
 WINDOW, GRAM = 50, 20
 REACH = WINDOW - GRAM + 1  # grams in a window
-FILTER_BITS = 27  # 16 MiB
+FILTER_BITS = 28  # 32 MiB
 BLOCK_BYTES = 8 << 20  # of text a hash block stands for
 HELD_ROWS = 60_000
 SCAN_BYTES = 256 << 10
@@ -74,7 +74,7 @@ def runs(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.flatnonzero(new)
     total = np.cumsum(inside)
     count = np.diff(np.append(total[first] - 1, total[-1] if len(total) else 0))
-    return doc[first], first, count, gram[anchor[first]]
+    return doc[first], first, count, mix64(gram[anchor[first]])  # least hashes are small: mixed again they spread evenly
 
 
 def summaries(docs: DataFrame) -> DataFrame:
