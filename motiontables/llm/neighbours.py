@@ -30,7 +30,7 @@ from .shared import stream, written
 PROJECTIONS = 64
 HALF_WIDTH = 1.0  # of a window at radius 1: a vector at the radius collides on 68 % of the lines
 THRESHOLD = 38    # collisions that call for verification: 1.5 deviations under the 43.7 expected at the radius
-FIRST_RADIUS, GROWTH = 0.3, 1.15
+FIRST_RADIUS, FIRST_SHARE, GROWTH = 0.3, 0.8, 1.15
 BLOCK_ROWS, CHUNK_QUERIES, SAMPLE_ROWS = 16_384, 256, 4_096
 
 
@@ -60,7 +60,7 @@ def packed(rows: DataFrame, keys: list[str], project: bool) -> DataFrame:
         if project:
             value = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ lines(v.shape[1])
             order = np.argsort(value, axis=0, kind="stable")
-            out["orders"] = np.ascontiguousarray(order.T.astype(np.int32)).tobytes()
+            out["orders"] = np.ascontiguousarray(order.T.astype(np.int64)).tobytes()
             out["values"] = np.ascontiguousarray(np.take_along_axis(value, order, 0).T.astype(np.float32)).tobytes()
         return pd.DataFrame([out])
 
@@ -74,36 +74,30 @@ def cosines(vectors: np.ndarray, norms: np.ndarray, query: np.ndarray) -> np.nda
 
 
 def search(ids, vectors, orders, values, q_ids, queries, known, k) -> list[tuple[int, int, float]]:
-    """The k best found of this block for every query, as (query, id, cosine)."""
-    n = len(ids)
+    """The k best found of this block for every query, as (query, id, cosine). ``known``: a distance within
+    which each query has k vectors somewhere; the first radius lies a little below it."""
     norms = np.sqrt((vectors * vectors).sum(1))
     at = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ lines(queries.shape[1])
-    out = []
-    for q in range(len(queries)):
-        counts = np.zeros(n, np.int32)
-        low = np.array([np.searchsorted(values[j], at[q, j]) for j in range(PROJECTIONS)])
-        high, radius = low.copy(), FIRST_RADIUS
-        done = ids == q_ids[q]
-        own_ids, own_scores = np.zeros(0, np.int64), np.zeros(0)
-        while True:
-            new = []
-            for j in range(PROJECTIONS):
-                a, b = np.searchsorted(values[j], (at[q, j] - HALF_WIDTH * radius, at[q, j] + HALF_WIDTH * radius))
-                new += [orders[j, a: low[j]], orders[j, high[j]: b]]
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
-            counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-            fresh = np.flatnonzero((counts >= THRESHOLD) & ~done)
-            if len(fresh):
-                done[fresh] = True
-                own_ids = np.concatenate([own_ids, ids[fresh]])
-                own_scores = np.concatenate([own_scores, cosines(vectors[fresh], norms[fresh], queries[q])])
-                best = np.lexsort((own_ids, -own_scores))[:k]
-                own_ids, own_scores = own_ids[best], own_scores[best]
-            kth = min(known[q], np.sqrt(max(0.0, 2 - 2 * own_scores[-1])) if len(own_scores) == k else np.inf)
-            if kth <= radius or done.all():
-                break
-            radius *= GROWTH
-        out += zip([int(q_ids[q])] * len(own_ids), own_ids.tolist(), own_scores.tolist())
+    radius = np.where(np.isfinite(known), np.maximum(FIRST_RADIUS, FIRST_SHARE * known), FIRST_RADIUS)
+    active, out = np.arange(len(queries)), []
+    while len(active):
+        reach = HALF_WIDTH * radius[active]
+        low = np.stack([np.searchsorted(values[j], at[active, j] - reach) for j in range(PROJECTIONS)], 1)
+        high = np.stack([np.searchsorted(values[j], at[active, j] + reach, "right") for j in range(PROJECTIONS)], 1)
+        open_ = []
+        for q, a, b in zip(active.tolist(), low.tolist(), high.tolist()):
+            counts = np.bincount(np.concatenate([orders[j, a[j]: b[j]] for j in range(PROJECTIONS)]), minlength=len(ids))
+            close = counts >= THRESHOLD
+            some = np.flatnonzero(close & (ids != q_ids[q]))
+            score = cosines(vectors[some], norms[some], queries[q])
+            best = np.lexsort((ids[some], -score))[:k]
+            kth = min(known[q], np.sqrt(max(0.0, 2 - 2 * score[best[-1]])) if len(best) == k else np.inf)
+            if kth <= radius[q] or close.all():
+                out += zip([int(q_ids[q])] * len(best), ids[some][best].tolist(), score[best].tolist())
+            else:
+                open_.append(q)
+        active = np.array(open_, np.int64)
+        radius[active] *= GROWTH
     return out
 
 
@@ -132,7 +126,7 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id",
             for i in range(len(batch)):
                 c = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 v, q = (np.frombuffer(c[x]).reshape(-1, c["dim"]) for x in ("vectors", "q_vectors"))
-                orders = np.frombuffer(c["orders"], np.int32).reshape(PROJECTIONS, -1)
+                orders = np.frombuffer(c["orders"], np.int64).reshape(PROJECTIONS, -1)
                 values = np.frombuffer(c["values"], np.float32).reshape(PROJECTIONS, -1)
                 q_ids = np.frombuffer(c["q_ids"], np.int64)
                 known = np.full(len(q), np.inf)
