@@ -47,7 +47,7 @@ def shingles(part: Slice, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(len(part.counts), np.int64)
     with np.errstate(over="ignore"):
         rolled = h * PLACE[0]
-        for j in range(1, k):
+        for j in range(1, min(k, n)):
             rolled[: n - j] += h[j:] * PLACE[j]
         rolled = mix64(rolled)
         out, sizes = [], np.zeros(len(part.counts), np.int64)
