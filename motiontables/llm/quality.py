@@ -129,25 +129,39 @@ def shaped(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items()))
 
 
+def featured(rows: DataFrame) -> pd.DataFrame:
+    """A bounded sample on the driver, as numbers: its texts stay where they are."""
+    names = ["doc_id", "lang", "source", "n_chars", "label", "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [pa.array(x) for x in content(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]),
+                                              pa.array([x.to_pylist() for x in own], pa.list_(pa.float64()))], names)
+
+    out = rows.mapInArrow(run, "doc_id long, lang string, source string, n_chars double, label int, content array<double>").toPandas()
+    return out.sort_values("doc_id", ignore_index=True).drop_duplicates("doc_id", ignore_index=True)
+
+
 def fit_views(docs: DataFrame, labels: DataFrame) -> Views | None:
     ids, sizes = labelled_ids(labels, "quality", PER_CLASS)
     if set(sizes) != {0, 1}:
         return None
     short = shaped(docs).where("doc_id IS NOT NULL AND (text IS NULL OR length(text) <= %d)" % LONGEST)
-    known = short.join(F.broadcast(ids), "doc_id")  # 2 * PER_CLASS ids at most
-    known = known.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
-    every = short.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED).distinct()
-    free = short.join(F.broadcast(every), "doc_id").join(labels.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_anti")
-    free = free.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
-    if known["label"].nunique() < 2 or known["label"].value_counts().min() < 8:
+    seen = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    others = shaped(docs).select("doc_id").where("doc_id IS NOT NULL").join(seen, "doc_id", "left_anti")
+    others = others.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(UNLABELLED).distinct().withColumn("label", F.lit(-1))
+    chosen = ids.unionByName(others)  # 2 * PER_CLASS + UNLABELLED ids at most
+    rows = featured(short.join(F.broadcast(chosen), "doc_id"))
+    count = rows["label"].value_counts()
+    if min(count.get(0, 0), count.get(1, 0)) < 8:
         return None
-    order = np.argsort([zlib.crc32(str(i).encode()) for i in known["doc_id"]], kind="stable")
-    rows = pd.concat([known.iloc[order], free.assign(label=-1)], ignore_index=True)
+    rows = rows.iloc[np.argsort([zlib.crc32(str(i).encode()) for i in rows["doc_id"]], kind="stable")].reset_index(drop=True)
     label = rows["label"].to_numpy(np.int64)
     share = {c: sizes[c] / max(1, (label == c).sum()) for c in (0, 1)}
     usual = (share[0] * (label == 0).sum() + share[1] * (label == 1).sum()) / (label >= 0).sum()
     weight = np.where(label == 1, share[1], np.where(label == 0, share[0], usual)) / usual
-    return co_trained(content(pa.array(rows["text"], pa.string(), from_pandas=True)), metadata(rows), label, weight)
+    return co_trained(np.stack(rows["content"]), metadata(rows), label, weight)
 
 
 def _scored(docs: DataFrame, views: Views | None, columns: list[str]) -> DataFrame:
