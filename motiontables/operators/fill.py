@@ -20,22 +20,30 @@ from .lineage_cut import cut
 OBSERVED, INTERPOLATED, HOLD = "observed", "interpolated", "endpoint_hold"
 
 
+def outside_frames(df: DataFrame, frame_count: Column | int, frame: str = "frame") -> DataFrame:
+    """Observations that ``expand_gaps`` leaves out: no frame, or one outside 0..frame_count-1."""
+    inside = (F.col(frame) >= 0) & (F.col(frame) < F.lit(frame_count))
+    return df.filter(~F.coalesce(inside, F.lit(False)))
+
+
 def expand_gaps(df: DataFrame, keys: Sequence[str], values: Sequence[str], frame_count: Column | int,
                 frame: str = "frame", width: int = FRAME_BLOCK) -> DataFrame:
-    """One row per (key, frame) in 0..frame_count-1.
+    """One row per (key, frame) in 0..frame_count-1. Observations outside these frames are left out
+    (``outside_frames`` reports them); a repeated frame keeps its rows but fills no gap twice.
 
     Adds ``at`` (the output frame), ``left``/``right`` (structs of the neighbouring
     observations, ``right`` null when there is none), ``sample_kind``, ``source_frames``
     and ``alpha`` (null unless interpolated).
     """
     own = F.struct(F.col(frame).alias("frame"), *values)
-    sparse = df.select(*keys, frame, *values, F.lit(frame_count).cast("long").alias("__n"))
+    sparse = df.select(*keys, frame, *values, F.lit(frame_count).cast("long").alias("__n")).filter(
+        (F.col(frame) >= 0) & (F.col(frame) < F.col("__n")))
     linked = block_scan(sparse, keys, [frame], [
         Scan("next", F.col(frame), "right_frame"), Scan("next", own, "right"),
         Scan("prev", F.col(frame), "__prev")], width)
     here = F.col(frame).cast("long")
     begin = F.when(F.col("__prev").isNull(), F.lit(0)).otherwise(here).cast("long")
-    stop = F.coalesce(F.col("right_frame") - 1, F.col("__n") - 1).cast("long")
+    stop = F.greatest(F.coalesce(F.col("right_frame") - 1, F.col("__n") - 1).cast("long"), here)
     rows = linked.select(*keys, here.alias("left_frame"), "right_frame", own.alias("left"), "right",
                          F.explode(F.sequence(begin, stop)).alias("at"))
     seen = F.col("at") == F.col("left_frame")

@@ -93,9 +93,10 @@ def hopping_windows(df: DataFrame, frame_count: Column | int, size: int = 15, st
     f = F.col(frame).cast("long")
     first_k = F.greatest(F.ceil((f - span + 1) / stride), F.lit(0)).cast("long")
     last_k = F.floor(F.least(f, last) / stride).cast("long")
-    regular = F.when(first_k <= last_k, F.transform(F.sequence(first_k, last_k), lambda k: k * stride)) \
+    inside = (f >= 0) & (f < n)  # a frame outside the clip is in no window
+    regular = F.when(inside & (first_k <= last_k), F.transform(F.sequence(first_k, last_k), lambda k: k * stride)) \
         .otherwise(F.array().cast("array<bigint>"))
-    tail = F.when(f >= last, F.array(last)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.when(inside & (f >= last), F.array(last)).otherwise(F.array().cast("array<bigint>"))
     return df.withColumn("window_start", F.explode(F.array_distinct(F.concat(regular, tail))))
 
 

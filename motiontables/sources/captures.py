@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -96,7 +97,7 @@ def leaves(documents: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 try:
                     rows.extend(_leaves(str(doc_id), _strict_load(text)))
-                except ValueError as error:
+                except (ValueError, TypeError, OverflowError, RecursionError) as error:
                     bad = _leaf(str(doc_id), "$", "$", None, None)
                     rows.append({**bad, "kind": "invalid", "text": str(error)})
             yield pd.DataFrame(rows, columns=[c.strip().split()[0] for c in LEAF.split(",")])
@@ -111,7 +112,7 @@ def folded_text(documents: DataFrame) -> DataFrame:
         def one(text):
             try:
                 return json.dumps(_strict_load(text), ensure_ascii=False)
-            except (ValueError, TypeError):
+            except (ValueError, TypeError, OverflowError, RecursionError):
                 return None
         return texts.map(one)
 
@@ -176,10 +177,29 @@ def renest(rows: DataFrame, key: str, order: list[str], fields: list[str], name:
     return nested.withColumn("document", F.to_json(F.struct(key, name), {"ignoreNullFields": "false"}))
 
 
+TOKEN = re.compile(r'"(?:\\.|[^"\\])*"|[{}\[\]:]')
+
+
+def _top_version(text: str, source: str) -> tuple[int, int] | None:
+    """Where the document's own version stands in its text; versions of nested objects are not its own."""
+    depth, tokens = 0, list(TOKEN.finditer(text))
+    for key, colon, value in zip(tokens, tokens[1:], tokens[2:]):
+        depth += {"{": 1, "[": 1, "}": -1, "]": -1}.get(key[0], 0)
+        if depth == 1 and key[0].lower() == '"format_version"' and colon[0] == ":" and value[0] == f'"{source}"':
+            return value.span()
+    return None
+
+
 def upgrade_version(documents: DataFrame, source: str = "1.0", target: str = "1.1") -> DataFrame:
-    """Rewrite only ``format_version``; other documents pass through unchanged."""
-    pattern = r'("format_version"\s*:\s*)"' + source.replace(".", r"\.") + '"'
-    return documents.withColumn("text", F.regexp_replace("text", "(?i)" + pattern, f'$1"{target}"'))
+    """Rewrite only the document's own ``format_version``; all else, nested versions too, stays byte for byte."""
+    @F.pandas_udf("string")
+    def upgraded(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            span = _top_version(text, source) if text else None
+            return f'{text[:span[0]]}"{target}"{text[span[1]:]}' if span else text
+        return texts.map(one)
+
+    return documents.withColumn("text", upgraded("text"))
 
 
 def preserved(before: DataFrame, after: DataFrame) -> DataFrame:
