@@ -32,7 +32,7 @@ BEGIN = WORDS  # the context of a first token
 SMOOTHING = 16.0
 ROWS_A_BLOCK = 32
 PAIRS = (WORDS + 1) * WORDS
-MOST_HELD = 4_000_000  # distinct words a task holds before it passes its sums on
+MOST_HELD = 1_000_000  # distinct words a task holds before it passes its sums on
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Words of whole Arrow batches as numpy arrays: where each begins and ends, and a 64-bit hash of each.
 
 Texts are taken as UTF-8 bytes. A null text has no words. Batches are cut into slices of about a
-megabyte at document borders, so memory follows the longest text, not the batch.
+quarter megabyte at document borders, so memory follows the longest text, not the batch.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from .shared import mix64, stream
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 256 << 10
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 NOT_SPACE = np.ones(256, bool)
