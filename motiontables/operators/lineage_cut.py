@@ -11,7 +11,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
     The files survive lost executors, and the result keeps its partitioning. Only where
-    the setting is absent (tests, a laptop) a fresh folder under /tmp is used.
+    the setting is absent and driver and executors share one machine (a local master, as in
+    tests) a fresh folder is made; a cluster without the setting is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -22,5 +23,7 @@ def cut(df: DataFrame) -> DataFrame:
         if current is None or folder.rstrip("/").split("://")[-1] not in current:
             sc.setCheckpointDir(folder)
     elif not folder and current is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)

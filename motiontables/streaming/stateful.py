@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.fold import records
-from ..operators.identity import TRACK_COLUMNS, TrackingRules, frame_rows, new_state, observation, track_frame
+from ..operators.identity import TRACK_COLUMNS, TrackingRules, frame_rows, new_state, observation, plausible, track_frame
 from ..operators.lifecycle import star_components
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -66,6 +66,9 @@ class IdentityProcessor(_JsonState):
             if len(hands) > 2:
                 out.append({"timestamp_ms": int(ts), "det_idx": -1, "source": "rejected_more_than_two_detections"})
                 continue
+            if ts < 0 or not all(plausible(h["side"], h["score"], h["landmarks"]) for h in hands):
+                out.append({"timestamp_ms": int(ts), "det_idx": -1, "source": "rejected_invalid_detection"})
+                continue
             seen = [observation(h["side"], h["score"], h["landmarks"]) for h in hands]
             results = track_frame(state, seen, int(ts), self.rules)
             if results is None:

@@ -240,3 +240,34 @@ def test_hopping_quality_and_progress(spark):
     assert len(full) == 6 and {round(r.mean_score * 40, 6) for r in full} == {7.0, 12.0, 17.0, 22.0, 27.0, 32.0}
     totals = spark.createDataFrame([("c", 80)], "clip_id string, frames_total long")
     assert windows.running_progress(frames, totals).collect()[0].fraction == 0.5
+
+
+def test_refused_frames_touch_no_track(spark):
+    """Crowded frames, unknown sides, broken landmarks: rejected rows; the tracks go on as if they had not been."""
+    good = [(0, [("left", .9, .25), ("right", .8, .7)]), (33, [("left", .9, .26)]), (100, [("left", .9, .27), ("right", .9, .7)])]
+    rows = [("c", "v", ts, i, s, c, hand(x)) for ts, hands in good for i, (s, c, x) in enumerate(hands)]
+    rows += [("c", "v", 50, i, "left", .9, hand(.2 + i / 10)) for i in range(3)]
+    rows += [("c", "v", 60, 0, "both", .9, hand(.3)), ("c", "v", 60, 1, "left", .9, hand(.3))]
+    rows += [("c", "v", 70, 0, "left", .9, [[float("nan")] * 3] * 21), ("c", "v", 80, 0, "left", .9, [[.1, .1, .1]] * 20),
+             ("c", "v", 85, 0, "left", None, hand(.3)), ("c", "v", 90, 0, None, .9, hand(.3))]
+    got = identity.track_identities(spark.createDataFrame(rows, SCHEMA)).collect()
+    kept = {("c", r.timestamp_ms, r.det_idx): tuple(r[k] for k in COMPARED[2:]) for r in got if not r.source.startswith("rejected")}
+    assert kept == reference_rows("c", good)
+    refused = sorted((r.timestamp_ms, r.det_idx, r.source) for r in got if r.track_id is None)
+    crowd, flaw = "rejected_more_than_two_detections", "rejected_invalid_detection"
+    assert refused == [(50, 0, crowd), (50, 1, crowd), (50, 2, crowd), (60, 0, flaw), (60, 1, flaw), (70, 0, flaw),
+                       (80, 0, flaw), (85, 0, flaw), (90, 0, flaw)]
+
+
+def test_identity_decisions():
+    """Crossing hands keep their native side, a separate second hand is inferred, a suspicion is settled later."""
+    first, crossing = run([(0, [("left", .9, .45), ("right", .9, .55)]), (33, [("left", .9, .5), ("right", .9, .5)])])
+    assert all(r["ambiguous"] and r["side"] == r["native_side"] for r in crossing)
+    a, b, c = run([(0, [("left", .9, .2)]), (33, [("left", .9, .2), ("left", .8, .8)]), (66, [("left", .9, .2), ("right", .8, .8)])])
+    assert b[1]["source"] == "new_track_opposite_hand_inference" and b[1]["side"] == "right" and b[1]["opposite_inferred"]
+    assert not c[1]["ambiguous"] and c[1]["track_id"] == b[1]["track_id"]
+    with pytest.raises(ValueError):
+        run([(0, [("left", .9, .1), ("left", .9, .5), ("right", .9, .9)])])
+    for bad in ({"max_gap_ms": 0}, {"max_gap_ms": True}, {"ambiguity_margin": -1.0}):
+        with pytest.raises(ValueError):
+            identity.TrackingRules(**bad)
