@@ -15,9 +15,11 @@ FILTER_WORDS = 1 << 17  # 64-bit words of a row filter: 1 MiB, whatever the inpu
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where the setting is absent."""
+    """The folder named by ``spark.checkpoint.dir``; one of our own only where it is absent on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
