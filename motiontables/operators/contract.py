@@ -57,14 +57,14 @@ def _leaf_issue() -> Column:
             .when(F.coalesce(may_be_null, F.lit(False)), F.lit(None))
             .when(kind == "null", "null is not allowed in this version")
             .when(~fits, F.concat(F.lit("expected "), want))
-            .when((kind == "string") & (F.col("size") == 0), "expected nonempty string")
+            .when((kind == "string") & (F.col("size") == 0), "text is empty")
             .when(F.exists(F.coalesce("strings", F.array()), lambda s: F.length(s) == 0) & (kind == "strings"),
-                  "expected nonempty string")
+                  "text is empty")
             .when(want.isin("integer", "integers") & (F.col("is_integral") == F.lit(False)), "expected integer")
             .when(F.col("sizes").isNotNull() & ~F.array_contains("sizes", F.col("size")), "unexpected number of entries")
             .when(counted & ((F.col("size") < low) | (F.col("size") > high)), "unexpected number of entries")
             .when((want == "quaternion") & (F.size("numbers") != 4), "unexpected number of entries")
-            .when((want == "quaternion") & (F.abs(squared - 1) > QUATERNION_TOLERANCE), "expected unit quaternion")
+            .when((want == "quaternion") & (F.abs(squared - 1) > QUATERNION_TOLERANCE), "rotation is not of unit length")
             .when(~counted & F.exists(values, lambda v: v < low), "below minimum")
             .when(~counted & F.exists(values, lambda v: v > high), "above maximum")
             .when(F.col("positive") & F.exists(values, lambda v: v <= 0), "must be positive")
@@ -92,7 +92,7 @@ def field_violations(leaves: DataFrame, rules: DataFrame, version_path: str = "$
     needed = (tagged.filter(F.col("kind") == "object").join(F.broadcast(parents), "pattern")
               .filter((F.col("version") >= F.col("since")) & ~F.array_contains("strings", F.col("field")))
               .select("doc_id", F.concat_ws(".", "path", "field").alias("path"), F.lit("required").alias("rule"),
-                      F.lit("required field is missing").alias("message")))
+                      F.lit("no value at this path").alias("message")))
     return bad.unionByName(checked).unionByName(needed)
 
 
@@ -203,8 +203,8 @@ def packet_violations(captures: DataFrame) -> DataFrame:
         f, "packet_frame",
         _issue(~F.col("frame").between(F.col("birth_frame"), F.col("death_frame")), F.concat(at_f, F.lit(".frame")),
                "frame outside the packet lifetime"),
-        _issue(~ok_state, F.concat(at_f, F.lit(".contact_state")), "unknown contact state"),
-        _issue(unknown_bone, F.concat(at_f, F.lit(".contact_bones")), "bone absent from mapping"))
+        _issue(~ok_state, F.concat(at_f, F.lit(".contact_state")), "contact state is not listed"),
+        _issue(unknown_bone, F.concat(at_f, F.lit(".contact_bones")), "contact names an unmapped bone"))
     return own.unionByName(poses)
 
 

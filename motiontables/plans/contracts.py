@@ -45,7 +45,7 @@ def contract_violations(spark, base) -> DataFrame:
 
 
 @catalog.add("missing_fields", """
-SELECT CAST(event_id AS VARCHAR) AS doc_id, '$.j' AS path, 'required' AS rule, 'required field is missing' AS message FROM events
+SELECT CAST(event_id AS VARCHAR) AS doc_id, '$.j' AS path, 'required' AS rule, 'no value at this path' AS message FROM events
 UNION ALL SELECT CAST(event_id AS VARCHAR), '$.k', 'quaternion', 'expected quaternion' FROM events
 """)
 def missing_fields(spark, base) -> DataFrame:
