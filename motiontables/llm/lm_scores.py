@@ -1,12 +1,18 @@
 """Cross-entropy difference: a target and a background bigram model score every document.
 
-Both models share one vocabulary: the ``KNOWN`` most frequent words of the corpus, counted over all
-documents, and ``CLASSES`` classes that a hash deals all other words to. The background counts every
-document, the target those of ``target``. Each model comes in two folds, a document being scored by
-the fold that has not counted it, so that no text is praised for its own memory. A token's probability after its predecessor is smoothed with
-the model's unigrams; a document's score is the mean over its tokens of target loss less background
-loss, in nats: the lower, the closer to the target. Counts are summed per task, then per bigram by a
-shuffle; the finished models have 2 * (KNOWN + CLASSES)^2 numbers at any size of the corpus.
+Both models count all words and all bigrams of the corpus, each word by its 64-bit hash. The background
+counts every document, the target those of ``target``. Each model comes in two folds, a document being
+scored by the fold that has not counted it, so that no text is praised for its own memory. A token's
+probability after its predecessor is smoothed with the model's unigrams, and these with one count for
+each of ``WORDS`` possible words, a constant that limits nothing; a document's score is the mean over its
+tokens of target loss less background loss, in nats: the lower, the closer to the target.
+
+A token's loss is the logarithm of its context's count less one that depends on word and bigram, so
+losses are summed where the counts are: a task sends each of its bigrams with the documents that have it
+to the part of the bigram, which counts, and answers with a sum per document. Bigrams of a word outside
+the ``FREQUENT`` most frequent meet at the word, which gives its count as well; counts of frequent words,
+and of bigrams between the ``HOT`` most frequent ones, which many documents have, are broadcast. These two
+sizes only decide where a count is taken, the result is the same. The number of parts grows with the tokens.
 
 Defined cases: null, empty and blank texts have no tokens, and null losses and score; target rows whose
 doc_id is null or not in the corpus count for nothing; rows that repeat a doc_id are scored one by one
@@ -20,62 +26,76 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix64, narrowed, written
-from .words import NOT_SPACE, Slice, slices
+from .shared import mix64, parted, written
+from .words import NOT_SPACE, slices
 
-KNOWN, CLASSES = 1024, 256
-WORDS = KNOWN + CLASSES
-BEGIN = WORDS  # the context of a first token
+KNOWN = None  # words with counts of their own: all
+WORDS = 1 << 20  # possible words, for smoothing
+BEGIN = -1  # the context of a first token
 SMOOTHING = 16.0
-ROWS_A_BLOCK = 32
-PAIRS = (WORDS + 1) * WORDS
+FREQUENT, HOT = 1 << 16, 1 << 10
+BEGIN_HASH = np.uint64(0x6A09E667F3BCC909)
+PART_TOKENS = 1 << 21  # per part
+MOST_TOKENS, MOST_DOCS = 1 << 20, 50_000  # a task passes its bigrams on beyond these
 MOST_HELD = 1_000_000  # distinct words a task holds before it passes its sums on
+KINDS = ["n0", "n1", "n2", "n3"]  # counts in fold 0 and 1, outside and inside of the target: 2 * fold + inside
+
+
+def kinds_of(ids: pa.Array, chosen: pa.Array) -> np.ndarray:
+    return 2 * fold_of(ids) + chosen.to_numpy(zero_copy_only=False)
+
+
+def by_model(counts: np.ndarray) -> np.ndarray:
+    """[model, fold, ...] from [..., kind]; model 0 is the target, 1 the background."""
+    return np.stack([[counts[..., 1], counts[..., 3]], [counts[..., 0] + counts[..., 1], counts[..., 2] + counts[..., 3]]])
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys)
+    keys = keys[order]
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[begins], np.add.reduceat(counts[order], begins)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n0..n3) of docs (doc_id, text, chosen)."""
+    def row(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c) for c in counts.T.copy())], ["word", *KINDS])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            words, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            own, at = np.unique(words, return_inverse=True)
-            return own, np.bincount(at, weights=n).astype(np.int64)
-
         for batch in batches:
-            for part in slices(batch.column(0), NOT_SPACE):
-                held.append(np.unique(part.hashes, return_counts=True))
-                size += len(held[-1][0])
+            kinds = kinds_of(batch.column(0), batch.column(2))
+            for part in slices(batch.column(1), NOT_SPACE):
+                own, at = np.unique(part.hashes, return_inverse=True)
+                kind = np.repeat(kinds[part.first: part.first + len(part.counts)], part.counts)
+                held.append((own, np.bincount(at * 4 + kind, minlength=4 * len(own)).reshape(-1, 4)))
+                size += len(own)
                 if size > MOST_HELD:
-                    held = [summed()]
+                    held = [summed(*map(np.concatenate, zip(*held)))]
                     size = len(held[0][0])
                     if size > MOST_HELD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["word", "n"])
+                        yield row(*held[0])
                         held, size = [], 0
         if held:
-            own, n = summed()
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["word", "n"])
+            yield row(*summed(*map(np.concatenate, zip(*held))))
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(run, "word long, " + ", ".join(f"{k} long" for k in KINDS)).groupBy("word").agg(*(F.sum(k).alias(k) for k in KINDS))
 
 
 def numbered(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """The vocabulary number of each word: its place among the known, or its class."""
-    at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-    own = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-    return np.where(own, at, KNOWN + (hashes >> np.uint64(54)).astype(np.int64) % CLASSES)
-
-
-def bigrams(part: Slice, known: np.ndarray) -> np.ndarray:
-    """Context * WORDS + word of every token."""
-    word = numbered(part.hashes, known)
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    first = part.bounds[:-1][part.counts > 0]
-    before[first] = BEGIN
-    return before * WORDS + word
+    """The place of each word among the known, or -1."""
+    if not len(known):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at, -1)
 
 
 def fold_of(ids: pa.Array) -> np.ndarray:
@@ -83,45 +103,119 @@ def fold_of(ids: pa.Array) -> np.ndarray:
     return (mix64(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> np.uint64(63)).astype(np.int64)
 
 
-def bigram_counts(docs: DataFrame, known) -> DataFrame:
-    """(pair, n); the pairs of fold 1 come after those of fold 0."""
+def shifted(values: np.ndarray, counts: np.ndarray, begin) -> np.ndarray:
+    """What stands before every token; ``begin`` before the first of a document."""
+    before = np.empty_like(values)
+    before[1:] = values[:-1]
+    before[(np.cumsum(counts) - counts)[counts > 0]] = begin
+    return before
+
+
+def flagged(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """docs with ``chosen``: whether the document is in ``target``. Only texts that may be in it are shuffled."""
+    outside, maybe = parted(docs, "doc_id", target, "target_id")
+    inside = maybe.join(target, F.col("doc_id") == F.col("target_id"), "left").select(
+        "doc_id", "text", F.col("target_id").isNotNull().alias("chosen"))
+    return outside.select("doc_id", "text", F.lit(False).alias("chosen")).unionByName(written(inside))
+
+
+def broadcast_counts(docs: DataFrame, known, hot) -> tuple[np.ndarray, np.ndarray]:
+    """Counts per kind of the known words as contexts, the beginning being last, and of bigrams between hot words, the
+    beginning being the last context."""
+    n, h = len(known.value), HOT
+    contexts = (n + 1) * 4
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * PAIRS, np.int64)
+        total = np.zeros(contexts + (h + 1) * h * 4, np.int64)
         for batch in batches:
-            folds = fold_of(batch.column(0))
+            kinds = kinds_of(batch.column(0), batch.column(2))
             for part in slices(batch.column(1), NOT_SPACE):
-                fold = folds[part.first: part.first + len(part.counts)]
-                own, n = np.unique(bigrams(part, known.value) + PAIRS * np.repeat(fold, part.counts), return_counts=True)
-                total[own] += n
+                kind = np.repeat(kinds[part.first: part.first + len(part.counts)], part.counts)
+                at = numbered(part.hashes, known.value)
+                before, word = shifted(at, part.counts, n), hot.value[at]
+                first, both = hot.value[before], before >= 0
+                own = [before[both] * 4 + kind[both]]
+                both = (first >= 0) & (word >= 0)
+                own.append(contexts + (first[both] * h + word[both]) * 4 + kind[both])
+                own, count = np.unique(np.concatenate(own), return_counts=True)
+                total[own] += count
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    found = docs.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(contexts + (h + 1) * h * 4, np.int64)
+    total[found["at"].to_numpy()] = found["n"].to_numpy()
+    return total[:contexts].reshape(-1, 4), total[contexts:].reshape(-1, 4)
 
 
-def log_model(counts: DataFrame) -> np.ndarray:
-    """Log probabilities of both folds, a row per fold and context; finished in blocks of contexts, a fixed number of them."""
-    counts = written(counts)
-    spark = counts.sparkSession
-    unigram = np.ones((2, WORDS))
-    for r in counts.groupBy(F.expr(f"pair div {PAIRS}").alias("f"), F.expr(f"pair % {WORDS}").alias("w")).agg(
-            F.sum("n").alias("n")).collect():  # 2 * WORDS rows at most
-        unigram[r["f"], r["w"]] += r["n"]
-    prior = spark.sparkContext.broadcast(unigram / unigram.sum(1, keepdims=True))
+def packed(*columns: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(c) for c in columns]).tobytes(), *(c.tobytes() for c in columns)]))
 
-    def block(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros((ROWS_A_BLOCK, WORDS))
-        table.reshape(-1)[part["pair"].to_numpy() - key[0] * ROWS_A_BLOCK * WORDS] = part["n"].to_numpy()
-        row = key[0] * ROWS_A_BLOCK + np.arange(ROWS_A_BLOCK)
-        own = np.log((table + SMOOTHING * prior.value[np.minimum(row // (WORDS + 1), 1)]) / (table.sum(1, keepdims=True) + SMOOTHING))
-        return pd.DataFrame({"block": [key[0]], "logs": [own.astype(np.float32).tobytes()]})
 
-    out = np.repeat(np.log(prior.value).astype(np.float32), WORDS + 1, axis=0)  # contexts without counts
-    out = np.concatenate([out, out[:ROWS_A_BLOCK]])
-    blocks = counts.groupBy(F.expr(f"cast(pair div {ROWS_A_BLOCK * WORDS} as int)").alias("block")).applyInPandas(block, "block int, logs binary")
-    for r in blocks.toLocalIterator():
-        out[r["block"] * ROWS_A_BLOCK:][:ROWS_A_BLOCK] = np.frombuffer(r["logs"], np.float32).reshape(ROWS_A_BLOCK, WORDS)
-    return out[: 2 * (WORDS + 1)].reshape(-1)
+def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    sizes, at, out = np.frombuffer(raw, np.int64, len(kinds)), 8 * len(kinds), []
+    for n, kind in zip(sizes, kinds):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += int(n) * np.dtype(kind).itemsize
+    return out
+
+
+FREQUENT_WORD, RARE_WORD, RARE_CONTEXT, DOCUMENTS = range(4)
+
+
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def sections(kind: int, group: np.ndarray, key: np.ndarray, more: np.ndarray, code: np.ndarray, parts: int) -> Iterator[tuple[int, int, bytes]]:
+    """(part, kind, data): each distinct (group, key) once, with the documents that have it; ``group`` decides the part.
+    Tokens come in the order of the documents."""
+    order = np.argsort(group, kind="stable") if kind != RARE_WORD else np.lexsort((key, group))
+    group, key, more, code = group[order], key[order], more[order], code[order]
+    if not len(key):
+        return
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
+    item = np.flatnonzero(new | np.concatenate([[True], code[1:] != code[:-1]]))
+    times = np.diff(np.append(item, len(key))).astype(np.uint32)
+    entry = np.flatnonzero(new[item])  # place among the items
+    has = np.diff(np.append(entry, len(item))).astype(np.uint32)
+    group, key, more, code = group[item[entry]], key[item[entry]], more[item[entry]], code[item]
+    edges = np.searchsorted(part_of(group, parts), np.arange(parts + 1))
+    ends = np.append(entry, len(item))
+    for p in np.flatnonzero(np.diff(edges)):
+        a, b = edges[p], edges[p + 1]
+        i, j = ends[a], ends[b]
+        yield int(p), kind, packed(group[a:b], key[a:b] if kind == RARE_WORD else key[:0], more[a:b] if kind == FREQUENT_WORD else more[:0],
+                                   has[a:b], code[i:j], times[i:j])
+
+
+def answer(kind: int, blocks: list[tuple[int, bytes]], prior: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, loss[model, row]): one summand per item of the blocks (first row, data)."""
+    read = [unpacked(data, np.uint64, np.uint64, np.uint16, np.uint32, np.uint32, np.uint32) for _, data in blocks]
+    group, key, more, has, code, times = map(np.concatenate, zip(*read))
+    row = np.repeat(np.array([b for b, _ in blocks]), [len(r[4]) for r in read]) + (code & np.uint32((1 << 30) - 1))
+    dealt, of = (code >> np.uint32(30)).astype(np.int64), np.repeat(np.arange(len(has)), has)
+    distinct, group = np.unique(group, return_inverse=True)
+
+    def counts(at: np.ndarray, n: int) -> np.ndarray:
+        return by_model(np.bincount(at[of] * 4 + dealt, weights=times, minlength=4 * n).reshape(-1, 4))
+
+    whole = counts(group, len(distinct))
+    if kind == RARE_CONTEXT:
+        at, value = group, np.log(whole + SMOOTHING)
+    elif kind == FREQUENT_WORD:
+        word = np.zeros(len(distinct), np.int64)
+        word[group] = more
+        at, value = group, -np.log(whole + SMOOTHING * prior[:, :, word])
+    else:
+        order = np.lexsort((key, group))
+        new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (group[order][1:] != group[order][:-1])])
+        at = np.empty(len(key), np.int64)
+        at[order] = np.cumsum(new) - 1
+        word = group[order][new]
+        value = -np.log(counts(at, len(word)) + SMOOTHING * ((whole + 1) / (tokens[:, :, None] + WORDS))[:, :, word])
+    return row, value[:, 1 - (dealt >> 1), at[of]] * times
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
@@ -130,26 +224,92 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     target = target.select(F.col("doc_id").cast("long").alias("target_id")).where("target_id IS NOT NULL").distinct()
     context = docs.sparkSession.sparkContext
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    known = context.broadcast(np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64)))
-    chosen = narrowed(docs, "doc_id", target, "target_id").join(target, F.col("doc_id") == F.col("target_id"), "left_semi")
-    models = context.broadcast((log_model(bigram_counts(chosen, known)), log_model(bigram_counts(docs, known))))
-    names = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
+    docs = flagged(docs, target)
+    words = written(word_counts(docs))
+    tokens = by_model(np.array([x or 0 for x in words.agg(*(F.sum(k) for k in KINDS)).first()]))
+    parts = max(8, int(-(-tokens[1].sum() // PART_TOKENS)))
+    top = words.orderBy((F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")).desc(), "word").limit(FREQUENT).toArrow()
+    found = top["word"].to_numpy().view(np.uint64)
+    order = np.argsort(found)
+    n = len(found)
+    place = np.full(n + 2, -1)  # of a known word among the hot; of the beginning; of other words
+    place[:n][order < HOT] = order[order < HOT]
+    place[n] = HOT
+    known, hot = context.broadcast(found[order]), context.broadcast(place)
+    counts = np.stack([top[k].to_numpy() for k in KINDS], -1)
+    one = (by_model(counts) + 1) / (tokens[:, :, None] + WORDS)  # the most frequent first
+    contexts, bigrams = broadcast_counts(docs, known, hot)
+    word = np.minimum(np.arange(len(bigrams)) % HOT, max(0, n - 1))
+    pair = -np.log(by_model(bigrams) + SMOOTHING * one[:, :, word]) if n else np.zeros((2, 2, len(bigrams)))
+    prior = context.broadcast(one[:, :, order])
+    local = context.broadcast((np.log(by_model(contexts) + SMOOTHING), pair.astype(np.float32)))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, held = TaskContext.get().partitionId() << 40, []
+
+        def passed() -> pa.RecordBatch:
+            hashes, counts, kinds, ids = (np.concatenate([h[i] for h in held]) for i in range(4))
+            valid = np.concatenate([h[4] for h in held])
+            doc = np.repeat(np.arange(len(counts)), counts)
+            at, first = numbered(hashes, known.value), shifted(hashes, counts, BEGIN_HASH)
+            before = shifted(at, counts, n)
+            code = (doc | kinds[doc] << 30).astype(np.uint32)
+            other, heads = 1 - (kinds[doc] >> 1), hot.value[before]
+            near = hot.value[at]
+            seen, both = before >= 0, (heads >= 0) & (near >= 0)
+            loss = [np.bincount(doc[seen], m[other[seen], before[seen]], len(counts))
+                    + np.bincount(doc[both], pairs[other[both], heads[both] * HOT + near[both]], len(counts))
+                    for m, pairs in zip(*local.value)]
+            with np.errstate(over="ignore"):
+                key = mix64(first * np.uint64(0x9E3779B97F4A7C15) + mix64(hashes))
+                group = mix64(hashes)
+            none = np.zeros(len(doc), np.uint16)
+            out = [(row // MOST_DOCS % parts, DOCUMENTS, packed(ids, valid, counts, *loss))]
+            for kind, own, g, more in ((FREQUENT_WORD, (at >= 0) & ~both, key, at.astype(np.uint16)), (RARE_WORD, at < 0, group, none),
+                                       (RARE_CONTEXT, ~seen, mix64(first), none)):
+                k = key if kind == RARE_WORD else g
+                out.extend(sections(kind, g[own], k[own], more[own], code[own], parts))
+            part, kind, data = zip(*out)
+            return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array([row] * len(out), pa.int64()),
+                                               pa.array(data, pa.binary())], ["part", "kind", "first", "data"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            other = 1 - fold_of(batch.column(0))
-            for part in slices(batch.column(1), NOT_SPACE):
-                pair, full = bigrams(part, known.value), part.counts > 0
-                pair = pair + PAIRS * np.repeat(other[part.first: part.first + len(full)], part.counts)
-                begins, n = part.bounds[:-1][full], part.counts[full]
-                losses = []
-                for model in models.value:
-                    own = np.full(len(full), np.nan)
-                    if len(begins):
-                        own[full] = -np.add.reduceat(model[pair].astype(np.float64), begins) / n
-                    losses.append(own)
-                columns = [pa.array(x, mask=~full) for x in (*losses, losses[0] - losses[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, len(full)), pa.array(part.counts), *columns], names)
-
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+            kinds = kinds_of(batch.column(0), batch.column(2))
+            ids, valid = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for piece in slices(batch.column(1), NOT_SPACE):
+                own = slice(piece.first, piece.first + len(piece.counts))
+                held.append((piece.hashes, piece.counts, kinds[own], ids[own], valid[own]))
+                if sum(len(h[0]) for h in held) > MOST_TOKENS or sum(len(h[1]) for h in held) > MOST_DOCS:
+                    yield passed()
+                    row, held = row + sum(len(h[1]) for h in held), []
+        if held:
+            yield passed()
+
+    def answered(own: pd.DataFrame) -> pd.DataFrame:
+        rows, losses, out = [], [], []
+        for kind, some in own.groupby("kind"):
+            blocks = list(zip(some["first"].tolist(), some["data"].tolist()))
+            if kind != DOCUMENTS:
+                row, loss = answer(kind, blocks, prior.value, tokens)
+                rows.append(row)
+                losses.append(loss)
+                continue
+            for first, data in blocks:
+                ids, valid, counts, *loss = unpacked(data, np.int64, bool, np.int64, np.float64, np.float64)
+                out.append(pd.DataFrame({"row": first + np.arange(len(ids)), "doc_id": pd.array(ids, "Int64"), "n_tokens": pd.array(counts, "Int64"),
+                                         "t": loss[0], "b": loss[1]}))
+                out[-1].loc[~valid, "doc_id"] = pd.NA
+        if rows:
+            row, at = np.unique(np.concatenate(rows), return_inverse=True)
+            t, b = (np.bincount(at, x) for x in np.concatenate(losses, 1))
+            empty = pd.array(np.zeros(len(row), np.int64), "Int64")
+            empty[:] = pd.NA
+            out.append(pd.DataFrame({"row": row, "doc_id": empty, "n_tokens": empty, "t": t, "b": b}))
+        return pd.concat(out)
+
+    sums = docs.mapInArrow(sent, "part int, kind int, first long, data binary").groupBy("part").applyInPandas(
+        answered, "row long, doc_id long, n_tokens long, t double, b double").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    mean = {c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")) for c in "tb"}
+    return sums.select("doc_id", "n_tokens", mean["t"].alias("target_loss"), mean["b"].alias("background_loss"),
+                       (mean["t"] - mean["b"]).alias("score"))

@@ -315,6 +315,31 @@ def test_lm_scores(spark, docs, none):
     assert lm_scores.cross_entropy_difference(none, target).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [{}, {"FREQUENT": 40, "HOT": 8, "PART_TOKENS": 500, "MOST_TOKENS": 700}])
+def test_lm_scores_count_every_word(spark, monkeypatch, sizes):
+    """3 000 words, every one counted by itself, wherever its count is taken."""
+    import pyarrow as pa
+    for name, size in sizes.items():
+        monkeypatch.setattr(lm_scores, name, size)
+    deal = np.random.default_rng(5)
+    words = {i: [f"w{int(x)}" for x in 3000 * deal.random(40) ** 3] for i in range(400)}
+    rows = [(i, " ".join(w)) for i, w in words.items()]
+    chosen = set(range(0, 400, 3))
+    got = {r.doc_id: r for r in lm_scores.cross_entropy_difference(
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(i,) for i in chosen], "doc_id long")).collect()}
+    assert len(got) == 400 and len({x for w in words.values() for x in w}) > 2000
+    fold = {i: int(lm_scores.fold_of(pa.array([i]))[0]) for i in words}
+    for mine, loss in ((chosen, "target_loss"), (set(words), "background_loss")):
+        for f in (0, 1):
+            own = [p for i, w in words.items() if i in mine and fold[i] != f for p in zip(["", *w], w)]
+            pair, before, one = collections.Counter(own), collections.Counter(u for u, _ in own), collections.Counter(w for _, w in own)
+            for i, w in words.items():
+                if fold[i] == f:
+                    p = [(pair[u, v] + lm_scores.SMOOTHING * (one[v] + 1) / (len(own) + lm_scores.WORDS)) / (before[u] + lm_scores.SMOOTHING)
+                         for u, v in zip(["", *w], w)]
+                    assert got[i].n_tokens == 40 and abs(got[i][loss] + np.log(p).mean()) < 1e-5
+
+
 def test_licenses(spark, none):
     rows = [(1, "x\nReleased under the MIT License.\ny"), (2, "Licensed under the Apache Licence, Version 2.0."), (3, "no such thing"),
             (4, None), (5, "All rights reserved by us and nobody else"), (6, "This work is licensed under the GNU General Public License, version 2."),
