@@ -41,8 +41,9 @@ SMOOTHING = 16.0
 FREQUENT, HOT = 1 << 16, 1 << 10
 BEGIN_HASH = np.uint64(0x6A09E667F3BCC909)
 PART_TOKENS = 1 << 21  # per part
-MOST_TOKENS, MOST_DOCS = 1 << 20, 50_000  # a task passes its bigrams on beyond these
-MOST_HELD = 1_000_000  # distinct words a task holds before it passes its sums on
+PIECES = 8  # of a part, in memory one after the other
+MOST_TOKENS, MOST_DOCS = 1 << 19, 50_000  # a task passes its bigrams on beyond these
+MOST_HELD = 500_000  # distinct words a task holds before it passes its sums on
 KINDS = ["n0", "n1", "n2", "n3"]  # counts in fold 0 and 1, outside and inside of the target: 2 * fold + inside
 
 
@@ -149,15 +150,28 @@ def broadcast_counts(docs: DataFrame, known, hot) -> tuple[np.ndarray, np.ndarra
 
 
 def packed(*columns: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(c) for c in columns]).tobytes(), *(c.tobytes() for c in columns)]))
+    """Each byte place of each column on its own: where numbers are small, most places are empty."""
+    squeeze, sizes, out = zstandard.ZstdCompressor(level=1), [len(c) for c in columns], []
+    for c in columns:
+        for place in np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T:
+            out.append(squeeze.compress(place.tobytes()) if place.any() else b"")
+            sizes.append(len(out[-1]))
+    return b"".join([np.array(sizes, np.int32).tobytes(), *out])
 
 
 def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    sizes, at, out = np.frombuffer(raw, np.int64, len(kinds)), 8 * len(kinds), []
+    kinds = [np.dtype(k) for k in kinds]
+    places = sum(k.itemsize for k in kinds)
+    sizes = np.frombuffer(data, np.int32, len(kinds) + places).tolist()
+    loosen, at, lengths, out = zstandard.ZstdDecompressor(), 4 * len(sizes), iter(sizes[len(kinds):]), []
     for n, kind in zip(sizes, kinds):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += int(n) * np.dtype(kind).itemsize
+        own = np.zeros((n, kind.itemsize), np.uint8)
+        for i in range(kind.itemsize):
+            size = next(lengths)
+            if size:
+                own[:, i] = np.frombuffer(loosen.decompress(data[at: at + size]), np.uint8)
+            at += size
+        out.append(own.reshape(-1).view(kind))
     return out
 
 
@@ -186,15 +200,33 @@ def sections(kind: int, group: np.ndarray, key: np.ndarray, more: np.ndarray, co
     for p in np.flatnonzero(np.diff(edges)):
         a, b = edges[p], edges[p + 1]
         i, j = ends[a], ends[b]
-        yield int(p), kind, packed(group[a:b], key[a:b] if kind == RARE_WORD else key[:0], more[a:b] if kind == FREQUENT_WORD else more[:0],
+        yield int(p), kind, packed(np.diff(group[a:b], prepend=np.uint64(0)), key[a:b] if kind == RARE_WORD else key[:0], more[a:b] if kind == FREQUENT_WORD else more[:0],
                                    has[a:b], code[i:j], times[i:j])
 
 
-def answer(kind: int, blocks: list[tuple[int, bytes]], prior: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, loss[model, row]): one summand per item of the blocks (first row, data)."""
-    read = [unpacked(data, np.uint64, np.uint64, np.uint16, np.uint32, np.uint32, np.uint32) for _, data in blocks]
-    group, key, more, has, code, times = map(np.concatenate, zip(*read))
-    row = np.repeat(np.array([b for b, _ in blocks]), [len(r[4]) for r in read]) + (code & np.uint32((1 << 30) - 1))
+def combined(row: np.ndarray, loss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The summands of each row as one."""
+    row, at = np.unique(row, return_inverse=True)
+    return row, np.stack([np.bincount(at, x, len(row)) for x in loss])
+
+
+def answers(kind: int, blocks: list[tuple[int, bytes]], prior: np.ndarray, tokens: np.ndarray, part: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, loss[model, row]) for the blocks (first row, data) of a part, a piece of its hashes after the other."""
+    read = [(first, *unpacked(data, np.uint64, np.uint64, np.uint16, np.uint32, np.uint32, np.uint32)) for first, data in blocks]
+    read = [(first, np.cumsum(group), *others) for first, group, *others in read]
+    items = [np.concatenate([[0], np.cumsum(r[4], dtype=np.int64)]) for r in read]
+    edges = [np.searchsorted(part_of(r[1], parts * PIECES), part * PIECES + np.arange(PIECES + 1)) for r in read]
+    for i in range(PIECES):
+        some = []
+        for (first, group, key, more, has, code, times), item, edge in zip(read, items, edges):
+            own, of = slice(edge[i], edge[i + 1]), slice(item[edge[i]], item[edge[i + 1]])
+            some.append((np.full(of.stop - of.start, first), group[own], key[own], more[own], has[own], code[of], times[of]))
+        if sum(len(x[1]) for x in some):
+            yield combined(*answer(kind, *map(np.concatenate, zip(*some)), prior, tokens))
+
+
+def answer(kind: int, first, group, key, more, has, code, times, prior: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    row = first + (code & np.uint32((1 << 30) - 1))
     dealt, of = (code >> np.uint32(30)).astype(np.int64), np.repeat(np.arange(len(has)), has)
     distinct, group = np.unique(group, return_inverse=True)
 
@@ -290,9 +322,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
         for kind, some in own.groupby("kind"):
             blocks = list(zip(some["first"].tolist(), some["data"].tolist()))
             if kind != DOCUMENTS:
-                row, loss = answer(kind, blocks, prior.value, tokens)
-                rows.append(row)
-                losses.append(loss)
+                for row, loss in answers(kind, blocks, prior.value, tokens, own["part"].iloc[0], parts):
+                    rows.append(row)
+                    losses.append(loss)
                 continue
             for first, data in blocks:
                 ids, valid, counts, *loss = unpacked(data, np.int64, bool, np.int64, np.float64, np.float64)
@@ -300,8 +332,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
                                          "t": loss[0], "b": loss[1]}))
                 out[-1].loc[~valid, "doc_id"] = pd.NA
         if rows:
-            row, at = np.unique(np.concatenate(rows), return_inverse=True)
-            t, b = (np.bincount(at, x) for x in np.concatenate(losses, 1))
+            row, (t, b) = combined(np.concatenate(rows), np.concatenate(losses, 1))
             empty = pd.array(np.zeros(len(row), np.int64), "Int64")
             empty[:] = pd.NA
             out.append(pd.DataFrame({"row": row, "doc_id": empty, "n_tokens": empty, "t": t, "b": b}))
