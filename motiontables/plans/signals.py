@@ -17,12 +17,13 @@ catalog = Catalog.empty()
 # ---- strips -------------------------------------------------------------
 
 def _daily(spark, base) -> DataFrame:
-    """Events per user and day 0..29, zero days included: one strip of 30 samples per user."""
-    e = table(spark, base, "events")
-    counts = e.groupBy(F.col("user_id").alias("clip_id"), event_day(F.col("ts")).alias("row")).agg(
-        F.count(F.lit(1)).cast("double").alias("c"))
-    clips = e.select(F.col("user_id").alias("clip_id")).distinct().select("clip_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("row"))
-    return clips.join(counts, ["clip_id", "row"], "left").select("clip_id", "row", F.coalesce("c", F.lit(0.0)).alias("profile"))
+    """Events per user and day, zero days included: one strip per user from the first day of all events to the last, row 0 being the first."""
+    e = table(spark, base, "events").select(F.col("user_id").alias("clip_id"), event_day(F.col("ts")).alias("day"))
+    counts = e.groupBy("clip_id", "day").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    span = e.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    clips = e.select("clip_id").distinct().crossJoin(F.broadcast(span)).select("clip_id", "first", F.explode(F.sequence("first", "last")).alias("day"))
+    return clips.join(counts, ["clip_id", "day"], "left").select(
+        "clip_id", (F.col("day") - F.col("first")).alias("row"), F.coalesce("c", F.lit(0.0)).alias("profile"))
 
 
 DAILY = """
