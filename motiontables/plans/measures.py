@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.scoring import usability
 from ..operators import fill, gates, scale, selection, sweep
 from ..operators.gates import GeometryCriteria
-from ..sources.warehouse import observations, table
+from ..sources.warehouse import frame_count, observations, table
 from .base import GROUPS, OBS, Catalog
-from .timelines import DENSE, TIMELINE, retained
+from .timelines import DENSE, retained
 
 catalog = Catalog.empty()
 
@@ -219,7 +219,7 @@ SWEEP = GeometryCriteria()
 def sweep_frames(spark, base) -> DataFrame:
     """Dense affine coefficients of both hands: constant = position, slope from the score."""
     kept = retained(spark, base).withColumn("slope", F.array(F.col("score") + 0.5))
-    dense = fill.fill_vectors(kept, ["clip_id", "side"], ["trans", "slope"], TIMELINE)
+    dense = fill.fill_vectors(kept, ["clip_id", "side"], ["trans", "slope"], frame_count(spark, base))
     is_left = F.col("side") == "left"
     return dense.groupBy("clip_id", "frame").agg(
         F.max(F.when(is_left, F.col("trans"))).alias("lc"), F.max(F.when(~is_left, F.col("trans"))).alias("rc"),

@@ -10,12 +10,11 @@ from ..functions.rotation import quat_to_axis_angle
 from ..functions.text import range_text
 from ..functions.vectors import let, norm
 from ..operators import fill, ranges, selection, timeline
-from ..sources.warehouse import FRAMES_PER_CLIP, event_ms, observations, table
+from ..sources.warehouse import FRAMES_PER_CLIP, event_ms, frame_count, observations, table
 from .base import EVENT_MS, GROUPS, OBS, Catalog
 
 catalog = Catalog.empty()
 LOW_SCORE = 0.1
-TIMELINE = FRAMES_PER_CLIP
 
 
 def _hands(spark, base) -> DataFrame:
@@ -130,7 +129,7 @@ def align_two_views(spark, base) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("hands")).withColumn("view_id", F.lit("side")))
     views = o.select("clip_id").distinct().select(
         "clip_id", F.lit("side").alias("view_id"), F.lit(2.0).alias("fps"),
-        F.lit(0.375).alias("offset_seconds"), F.lit(60).alias("frame_count"))
+        F.lit(0.375).alias("offset_seconds"), F.lit(frame_count(spark, base) // 2).alias("frame_count"))
     return timeline.align_views(clock, views, second).select(
         "clip_id", "frame", "source_frame", "hands", "available")
 
@@ -210,7 +209,7 @@ FROM per_frame JOIN starts ON frame BETWEEN s0 AND s0 + 14 GROUP BY clip_id, s0
 def hopping_windows(spark, base) -> DataFrame:
     per = observations(spark, base).groupBy("clip_id", "frame").agg(
         F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"))
-    return (timeline.hopping_windows(per, TIMELINE).groupBy("clip_id", "window_start").agg(
+    return (timeline.hopping_windows(per, frame_count(spark, base)).groupBy("clip_id", "window_start").agg(
         F.sum("n").alias("observations"), F.count(F.lit(1)).alias("frames"),
         F.round(F.sum("s") / F.sum("n"), 10).alias("mean_score")))
 
@@ -292,7 +291,7 @@ def retained(spark, base) -> DataFrame:
 
 
 def dense_positions(spark, base) -> DataFrame:
-    return fill.fill_vectors(retained(spark, base), ["clip_id", "side"], ["trans"], TIMELINE)
+    return fill.fill_vectors(retained(spark, base), ["clip_id", "side"], ["trans"], frame_count(spark, base))
 
 
 @catalog.add("fill_timeline", f"""
@@ -325,7 +324,7 @@ SELECT clip_id, side, frame, sample_kind, round(sz / sqrt(sz * sz + cz * cz), 8)
 def fill_rotation(spark, base) -> DataFrame:
     """All rotations turn about z by 0..pi, so SLERP interpolates the angle, and near-parallel
     pairs blend linearly before renormalising."""
-    d = fill.fill_rotations(retained(spark, base), ["clip_id", "side"], "quat", TIMELINE)
+    d = fill.fill_rotations(retained(spark, base), ["clip_id", "side"], "quat", frame_count(spark, base))
     q = F.col("quat")
     return d.select("clip_id", "side", "frame", "sample_kind", (F.round(q.getItem(2), 8) + 0.0).alias("qz"),
                     (F.round(q.getItem(3), 8) + 0.0).alias("qw"),
@@ -388,7 +387,7 @@ n AS (SELECT *, frame - row_number() OVER (PARTITION BY clip_id, side ORDER BY f
 SELECT clip_id, side, min(frame) AS "start", max(frame) AS "end" FROM n GROUP BY clip_id, side, island
 """)
 def low_confidence_ranges(spark, base) -> DataFrame:
-    rows = fill.expand_gaps(retained(spark, base), ["clip_id", "side"], ["score"], TIMELINE)
+    rows = fill.expand_gaps(retained(spark, base), ["clip_id", "side"], ["score"], frame_count(spark, base))
     samples = rows.select("clip_id", "side", F.col("at").alias("frame"), "sample_kind",
                           F.col("left.score").alias("confidence"))
     return timeline.low_confidence_ranges(samples, ["clip_id", "side"])
@@ -400,7 +399,7 @@ SELECT clip_id, side, round(avg(c), 10) AS mean_confidence, count(*) FILTER (WHE
 FROM s GROUP BY clip_id, side
 """)
 def usability_summary(spark, base) -> DataFrame:
-    rows = fill.expand_gaps(retained(spark, base), ["clip_id", "side"], ["score"], TIMELINE)
+    rows = fill.expand_gaps(retained(spark, base), ["clip_id", "side"], ["score"], frame_count(spark, base))
     samples = rows.select("clip_id", "side", "sample_kind", F.col("left.score").alias("confidence"))
     return timeline.usability_summary(samples, ["clip_id", "side"]).withColumn(
         "mean_confidence", F.round("mean_confidence", 10))

@@ -30,6 +30,12 @@ def event_ms(ts: Column) -> Column:
     return seconds * 1000 + F.floor(micros / 1000)
 
 
+def frame_count(spark: SparkSession, base: str) -> int:
+    """Frames of the timeline that all clips share: four a day from 2024-01-01 to the last day of the events."""
+    last = table(spark, base, "events").agg(F.max(event_day(F.col("ts")))).first()[0]
+    return 0 if last is None else max(0, 4 * (last + 1))
+
+
 def observations(spark: SparkSession, base: str) -> DataFrame:
     """Hand observations: clip, frame, side, detection id, score, position, rotation."""
     e = table(spark, base, "events")
