@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (chat_tree, decontamination, licenses, lm_scores, near_duplicates, neighbours, packing, quality, suffix_dedup,
-               toxicity)
+from . import (chat_tree, decontamination, divergence, licenses, lm_scores, middle_filling, near_duplicates, neighbours, packing,
+               quality, sharding, suffix_dedup, toxicity)
 
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
 
@@ -64,9 +64,24 @@ def op10_decontamination(spark: SparkSession, base: str) -> DataFrame:
                        F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_source_divergence(spark: SparkSession, base: str) -> DataFrame:
+    return divergence.divergence_audit(table(spark, base, "documents"))
+
+
+def op12_sharding(spark: SparkSession, base: str) -> DataFrame:
+    rows = sharding.sharded(table(spark, base, "documents"), shards=16, columns=["doc_id"])
+    return rows.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_fill_in_middle(spark: SparkSession, base: str) -> DataFrame:
+    return middle_filling.digests(middle_filling.fill_in_middle(table(spark, base, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_best_fit_packing, op3_toxicity, op4_license_scan, op5_near_duplicates, op6_suffix_dedup,
-    op7_nearest_neighbours, op8_quality, op9_chat_tree, op10_decontamination)}
+    op7_nearest_neighbours, op8_quality, op9_chat_tree, op10_decontamination, op11_source_divergence, op12_sharding,
+    op13_fill_in_middle)}
 
 # The other operators are compared with direct implementations in tests/llm.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_source_divergence": divergence.SQL, "op13_fill_in_middle": middle_filling.SQL}
