@@ -72,28 +72,30 @@ def _leaf_issue() -> Column:
             .when(F.col("is_unique") & (distinct < F.col("size")), "duplicate entry"))
 
 
-def field_violations(leaves: DataFrame, rules: DataFrame, version_path: str = "$.format_version") -> DataFrame:
+def field_violations(leaves: DataFrame, rules: DataFrame) -> DataFrame:
     """Leaf rules and missing fields.
 
-    The rule table is a fixed few dozen rows, so both joins broadcast it; a document's
-    version travels with its leaves through one join on the document.
+    The rule table, a fixed few dozen rows with one rule a pattern, is broadcast twice: as the rule of a leaf and as
+    the fields of an object. Version and kinds travel with each leaf, so a document is read once and nothing is shuffled.
     """
-    leaves = cut(leaves)  # the parse runs once for the four branches below
-    version = leaves.filter((F.col("path") == version_path) & (F.col("kind") == "string")).select("doc_id", F.col("text").alias("version"))
-    tagged = leaves.join(version, "doc_id", "left").withColumn("version", F.coalesce("version", F.lit("1.0")))
-    bad = tagged.filter(F.col("kind") == "invalid").select(
-        "doc_id", F.lit("$").alias("path"), F.lit("json").alias("rule"), F.col("text").alias("message"))
-    checked = (tagged.join(F.broadcast(rules), "pattern").filter(F.col("version") >= F.col("since"))
-               .withColumn("message", _leaf_issue()).filter(F.col("message").isNotNull())
-               .select("doc_id", "path", F.col("expected").alias("rule"), "message"))
-    parents = rules.filter(~F.col("pattern").endswith("*") & ~F.col("pattern").endswith("[*]")).select(
-        F.regexp_replace("pattern", r"\.[^.]*$", "").alias("pattern"), "since",
-        F.regexp_extract("pattern", r"\.([^.]*)$", 1).alias("field"))
-    needed = (tagged.filter(F.col("kind") == "object").join(F.broadcast(parents), "pattern")
-              .filter((F.col("version") >= F.col("since")) & ~F.array_contains("strings", F.col("field")))
-              .select("doc_id", F.concat_ws(".", "path", "field").alias("path"), F.lit("required").alias("rule"),
-                      F.lit("no value at this path").alias("message")))
-    return bad.unionByName(checked).unionByName(needed)
+    own = rules.withColumn("has_rule", F.lit(True))
+    fields = rules.filter(~F.col("pattern").endswith("*") & ~F.col("pattern").endswith("[*]")).groupBy(
+        F.regexp_replace("pattern", r"\.[^.]*$", "").alias("pattern")).agg(F.collect_list(F.struct(
+            "since", F.regexp_extract("pattern", r"\.([^.]*)$", 1).alias("field"))).alias("fields"))
+    joined = leaves.join(F.broadcast(own), "pattern", "left").join(F.broadcast(fields), "pattern", "left")
+
+    def found(path, rule, message):
+        return F.struct(path.alias("path"), rule.alias("rule"), message.alias("message"))
+
+    leaf = F.when(F.col("has_rule") & (F.col("version") >= F.col("since")), _leaf_issue())
+    missing = F.transform(
+        F.filter("fields", lambda f: (F.col("version") >= f.getField("since")) & ~F.array_contains(F.col("strings"), f.getField("field"))),
+        lambda f: found(F.concat_ws(".", "path", f.getField("field")), F.lit("required"), F.lit("no value at this path")))
+    issues = F.array_compact(F.array(
+        F.when(F.col("kind") == "invalid", found(F.lit("$"), F.lit("json"), F.col("text"))),
+        F.when(leaf.isNotNull() & (F.col("kind") != "invalid"), found(F.col("path"), F.col("expected"), leaf))))
+    return joined.select("doc_id", F.inline(F.concat(issues, F.when((F.col("kind") == "object") & F.col("fields").isNotNull(), missing)
+                                                     .otherwise(F.array()))))
 
 
 def _issue(condition: Column, path, message: str) -> Column:
@@ -260,7 +262,7 @@ def range_violations(captures: DataFrame) -> DataFrame:
 def validate(documents: DataFrame, rules: Sequence[Rule] = CAPTURE_RULES) -> DataFrame:
     """Every violation of every document."""
     table = rule_table(documents.sparkSession, rules)
-    caps = docs.typed(documents)
+    caps = cut(docs.typed(documents))  # six families of rules read it
     parts = [field_violations(docs.leaves(documents), table), document_violations(caps), sample_violations(caps),
              packet_violations(caps), reference_violations(docs.events(caps), docs.packets(caps)),
              duplicate_violations(caps), range_violations(caps)]

@@ -32,10 +32,6 @@ quality struct<mean_hand_confidence double, low_confidence_ranges array<array<in
                mean_reprojection_error_px double, warnings array<string>>
 """
 
-# One leaf of a JSON document: arrays of only numbers or only strings stay one leaf.
-LEAF = f"""doc_id string, path string, pattern string, parent string, kind string, number double,
-is_integral boolean, text string, flag boolean, size int, numbers {VEC}, strings array<string>"""
-
 HAND = f"""struct<side string, handedness_confidence double, image_landmarks {VECS}, image_landmarks_px {VECS},
 world_landmarks_m {VECS}, outside_image_joints array<int>, joint_confidences {VEC},
 mano struct<global_orient_axis_angle {VEC}, hand_pose_axis_angle {VEC}, shape {VEC}>,

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import json
-import math
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import ASCII_LOWER, ASCII_UPPER
-from ..schemas import CAPTURE, LEAF
+from ..functions import variant
+from ..schemas import CAPTURE
 
-FOLD = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 MAP_FIELDS = ("bone_rotations",)
 
 
@@ -25,105 +22,53 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                       F.regexp_replace("value", "^﻿", "").alias("text"))
 
 
-def _strict_load(text: str):
-    """Parse one document: no NaN, no repeated key (ASCII case ignored); keys folded."""
-    def pairs(items):
-        folded = {}
-        for key, value in items:
-            name = key.translate(FOLD)
-            if name in folded:
-                raise ValueError(f"duplicate object key {key!r}")
-            folded[name] = value
-        return folded
-
-    def constant(name):
-        raise ValueError(f"invalid numeric constant {name}")
-
-    def real(token):
-        number = float(token)
-        if not math.isfinite(number):
-            raise ValueError("nonfinite number")
-        return number
-
-    document = json.loads(text, object_pairs_hook=pairs, parse_constant=constant, parse_float=real)
-    if not isinstance(document, dict):
-        raise ValueError("expected object")
-    return document
-
-
-def _leaf(doc_id, path, pattern, parent, value):
-    row = dict(doc_id=doc_id, path=path, pattern=pattern, parent=parent, kind="null", number=None, is_integral=None,
-               text=None, flag=None, size=None, numbers=None, strings=None)
-    if isinstance(value, bool):
-        row.update(kind="boolean", flag=value)
-    elif isinstance(value, (int, float)):
-        row.update(kind="number", number=float(value), is_integral=float(value) == math.floor(value), text=json.dumps(value))
-    elif isinstance(value, str):
-        row.update(kind="string", text=value, size=len(value))
-    elif isinstance(value, dict):
-        row.update(kind="object", size=len(value), strings=list(value))
-    elif isinstance(value, list):
-        kinds = {type(v) for v in value}
-        row.update(kind="list", size=len(value))
-        if value and kinds <= {int, float}:
-            row.update(kind="numbers", numbers=[float(v) for v in value], text=json.dumps(value),
-                       is_integral=all(float(v) == math.floor(v) for v in value))
-        elif value and kinds == {str}:
-            row.update(kind="strings", strings=value)
-    return row
-
-
-def _leaves(doc_id, value, path="$", pattern="$", parent=None):
-    row = _leaf(doc_id, path, pattern, parent, value)
-    yield row
-    if isinstance(value, dict):
-        wild = pattern.rsplit(".", 1)[-1] in MAP_FIELDS
-        for key, child in value.items():
-            yield from _leaves(doc_id, child, f"{path}.{key}", f"{pattern}.*" if wild else f"{pattern}.{key}", path)
-    elif row["kind"] == "list":
-        for i, child in enumerate(value):
-            yield from _leaves(doc_id, child, f"{path}[{i}]", f"{pattern}[*]", path)
-
-
-def leaves(documents: DataFrame) -> DataFrame:
-    """One row per JSON leaf. An unreadable document is one ``invalid`` leaf at ``$``.
-
-    Strictness about repeated and case-variant keys needs the raw parse, which Spark's
-    JSON reader does not expose; the walk is per document and everything after it is SQL.
-    """
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                try:
-                    rows.extend(_leaves(str(doc_id), _strict_load(text)))
-                except (ValueError, TypeError, OverflowError, RecursionError) as error:
-                    bad = _leaf(str(doc_id), "$", "$", None, None)
-                    rows.append({**bad, "kind": "invalid", "text": str(error)})
-            yield pd.DataFrame(rows, columns=[c.strip().split()[0] for c in LEAF.split(",")])
-
-    return documents.select("doc_id", "text").mapInPandas(walk, LEAF)
-
-
-def folded_text(documents: DataFrame) -> DataFrame:
-    """Replace ``text`` by the same JSON with ASCII-folded keys; unreadable becomes null."""
-    @F.pandas_udf("string")
-    def fold(texts: pd.Series) -> pd.Series:
-        def one(text):
-            try:
-                return json.dumps(_strict_load(text), ensure_ascii=False)
-            except (ValueError, TypeError, OverflowError, RecursionError):
-                return None
-        return texts.map(one)
+def parsed(documents: DataFrame) -> DataFrame:
+    """(doc_id, v, nodes, bad): each document as a VARIANT, every node of its tree, or why it cannot be read.
 
-    return documents.withColumn("text", fold("text"))
+    A document is refused if it is not one JSON object and nothing else, repeats a key (ASCII case ignored) or holds
+    a number beyond double, or nests deeper than ``variant.LEVELS``. It is a projection: no shuffle and no Python.
+    """
+    rows = documents.select("doc_id", F.expr(variant.whole_document("text")).alias("v"))
+    rows = rows.withColumn("level_0", F.expr(f"CASE WHEN v IS NOT NULL THEN array({variant.node("'$'", "'$'", "v")}) END"))
+    for i in range(variant.LEVELS):
+        step = f"transform(level_{i}, n -> {variant.children('n', MAP_FIELDS)})"
+        rows = rows.withColumn(f"level_{i + 1}", F.expr(f"flatten(filter({step}, c -> size(c) > 0))"))
+    levels = [f"level_{i}" for i in range(variant.LEVELS + 1)]
+    rows = rows.select("doc_id", "v", F.concat(*levels).alias("nodes"), (F.size(levels[-1]) > 0).alias("deep"))
+    keys = variant.let(variant.folded_keys("n.v"), "k", "size(array_distinct(k)) < size(k)")
+    infinite = f"abs({variant.number('x')}) = double('Infinity')"
+    bad = f"""CASE WHEN v IS NULL THEN 'not one JSON document' WHEN get(nodes, 0).kind <> 'object' THEN 'expected object'
+        WHEN deep THEN 'nested too deeply' WHEN exists(nodes, n -> n.kind = 'object' AND {keys}) THEN 'duplicate object key'
+        WHEN exists(nodes, n -> exists(CASE n.kind WHEN 'number' THEN array(n.v) WHEN 'numbers' THEN {variant.items('n.v')} END, x -> {infinite}))
+        THEN 'nonfinite number' END"""
+    return rows.select("doc_id", "v", "nodes", F.expr(bad).alias("bad"))
+
+
+def leaves(documents: DataFrame, version_path: str = "$.format_version") -> DataFrame:
+    """One row per node of a JSON document with the document's version; an unreadable document is one ``invalid`` row at ``$``."""
+    version = variant.string(f"get(filter(nodes, n -> n.path = '{version_path}' AND n.kind = 'string'), 0).v")
+    none = "array(named_struct('path', '$', 'pattern', '$', 'kind', 'invalid', 'v', CAST(NULL AS VARIANT)))"
+    rows = parsed(documents).selectExpr("doc_id", "bad", f"coalesce({version}, '1.0') AS version",
+                                        f"explode(CASE WHEN bad IS NULL THEN nodes ELSE {none} END) AS n").select("doc_id", "bad", "version", "n.*")
+    rows = rows.withColumn("number", F.expr(f"CASE kind WHEN 'number' THEN {variant.number('v')} END")).withColumn(
+        "numbers", F.expr(f"CASE kind WHEN 'numbers' THEN transform({variant.items('v')}, x -> {variant.number('x')}) END"))
+    return rows.selectExpr(
+        "doc_id", "version", "path", "pattern", "kind", "number",
+        "coalesce(number = floor(number), forall(numbers, x -> x = floor(x))) AS is_integral",
+        f"""CASE WHEN kind = 'invalid' THEN bad WHEN kind = 'string' THEN {variant.string('v')}
+            WHEN kind IN ('number', 'numbers') THEN concat_ws(' ', schema_of_variant(v), to_json(v)) END AS text""",
+        f"CASE kind WHEN 'boolean' THEN {variant.boolean('v')} END AS flag",
+        f"""CASE WHEN kind = 'string' THEN length({variant.string('v')}) WHEN kind = 'object' THEN size({variant.entries('v')})
+            WHEN kind IN ('list', 'numbers', 'strings') THEN size({variant.items('v')}) END AS size""",
+        "numbers",
+        f"""CASE kind WHEN 'strings' THEN transform({variant.items('v')}, x -> {variant.string('x')})
+            WHEN 'object' THEN {variant.folded_keys('v')} END AS strings""")
 
 
 def typed(documents: DataFrame) -> DataFrame:
     """Typed capture per readable document; ``doc_id`` becomes ``clip_id``."""
-    parsed = folded_text(documents).select(F.col("doc_id").alias("clip_id"),
-                                           F.from_json("text", CAPTURE).alias("d"))
-    return parsed.filter(F.col("d").isNotNull()).select("clip_id", "d.*")
+    return parsed(documents).filter("bad IS NULL").selectExpr(
+        "CAST(doc_id AS STRING) AS clip_id", f"{variant.shaped('v', T._parse_datatype_string(CAPTURE))} AS d").select("clip_id", "d.*")
 
 
 # ---- facts --------------------------------------------------------------
@@ -205,7 +150,7 @@ def upgrade_version(documents: DataFrame, source: str = "1.0", target: str = "1.
 def preserved(before: DataFrame, after: DataFrame) -> DataFrame:
     """Leaves, other than the version, that differ between two document sets (should be none).
 
-    Number leaves keep their canonical text, so 1 and 1.0 differ as they do in JSON.
+    Number leaves keep their type, so 1 and 1.0 differ as they do in JSON.
     """
     def fingerprint(documents, tag):
         flat = leaves(documents).filter(F.col("path") != "$.format_version")
