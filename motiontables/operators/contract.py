@@ -194,7 +194,7 @@ def packet_violations(captures: DataFrame) -> DataFrame:
         _issue((F.col("birth_frame") >= F.col("n")) | (F.col("death_frame") >= F.col("n")),
                F.concat(at, F.lit(".death_frame")), "frame outside timeline"),
         _issue(F.col("card_count_estimate").isNull() != F.col("card_count_confidence").isNull(),
-               F.concat(at, F.lit(".card_count_confidence")), "count and confidence must both be present or null"))
+               F.concat(at, F.lit(".card_count_confidence")), "one of count and confidence without the other"))
     f = docs.packet_frames(captures).join(captures.select("clip_id", "format_version"), "clip_id")
     at_f = F.format_string("$.packets[%d].frames[%d]", "packet_index", "frame_index")
     state = F.col("contact_state")
@@ -210,24 +210,26 @@ def packet_violations(captures: DataFrame) -> DataFrame:
     return own.unionByName(poses)
 
 
-def reference_violations(events: DataFrame, packets: DataFrame) -> DataFrame:
-    """Events that name unknown packets, themselves, or too few members."""
+def reference_violations(events: DataFrame, packets: DataFrame, timelines: DataFrame | None = None) -> DataFrame:
+    """Events that name packets which are not there, themselves, or too few members; with ``timelines(clip_id, n)``, also
+    events outside of 0..n-1."""
     ids = packets.select("clip_id", ascii_fold(F.col("id")).alias("ref")).distinct()
     at = F.format_string("$.events.%s[%d]", "kind", "event_index")
     base = events.select("*", at.alias("path"), ascii_fold(F.col("subject")).alias("__subject"))
     refs = base.select("clip_id", "path", "__subject", F.lit(False).alias("member"), F.col("__subject").alias("ref")).unionByName(
         base.select("clip_id", "path", "__subject", F.lit(True).alias("member"),
                     F.explode("members").alias("ref")).withColumn("ref", ascii_fold(F.col("ref"))))
-    unknown = refs.join(ids, ["clip_id", "ref"], "left_anti").select(
-        F.col("clip_id").alias("doc_id"), "path", F.lit("reference").alias("rule"),
-        F.lit("unknown packet id").alias("message"))
-    itself = refs.filter(F.col("member") & (F.col("ref") == F.col("__subject"))).select(
-        F.col("clip_id").alias("doc_id"), "path", F.lit("reference").alias("rule"),
-        F.lit("self reference").alias("message"))
-    few = base.filter(F.size(F.array_distinct(F.transform("members", ascii_fold))) < 2).select(
-        F.col("clip_id").alias("doc_id"), "path", F.lit("reference").alias("rule"),
-        F.lit("expected at least two packets").alias("message"))
-    return unknown.unionByName(itself).unionByName(few)
+
+    def found(rows: DataFrame, message: str) -> DataFrame:
+        return rows.select(F.col("clip_id").alias("doc_id"), "path", F.lit("reference").alias("rule"), F.lit(message).alias("message"))
+
+    out = found(refs.join(ids, ["clip_id", "ref"], "left_anti"), "no packet of this id")
+    out = out.unionByName(found(refs.filter(F.col("member") & (F.col("ref") == F.col("__subject"))), "subject among its own members"))
+    out = out.unionByName(found(base.filter(F.size(F.array_distinct(F.transform("members", ascii_fold))) < 2), "fewer than two members"))
+    if timelines is not None:
+        late = base.join(timelines.select("clip_id", "n"), "clip_id").filter(~F.col("frame").between(0, F.col("n") - 1))
+        out = out.unionByName(found(late, "event outside the timeline"))
+    return out
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -252,11 +254,17 @@ def duplicate_violations(captures: DataFrame) -> DataFrame:
 
 
 def range_violations(captures: DataFrame) -> DataFrame:
+    """Low-confidence ranges that are reversed, not after the one before, or reach beyond the last frame."""
     r = docs.intervals(captures)
-    bad = interval_order_issues(r, ["clip_id"], ["interval_index"])
-    return bad.select(F.col("clip_id").alias("doc_id"),
-                      F.format_string("$.quality.low_confidence_ranges[%d]", "interval_index").alias("path"),
-                      F.lit("ranges").alias("rule"), F.lit("ranges must be ordered and nonoverlapping").alias("message"))
+
+    def found(rows: DataFrame, message: str) -> DataFrame:
+        return rows.select(F.col("clip_id").alias("doc_id"),
+                           F.format_string("$.quality.low_confidence_ranges[%d]", "interval_index").alias("path"),
+                           F.lit("ranges").alias("rule"), F.lit(message).alias("message"))
+
+    last = captures.select("clip_id", (F.col("meta.frame_count") - 1).alias("last"))
+    return found(interval_order_issues(r, ["clip_id"], ["interval_index"]), "range not after the one before").unionByName(
+        found(r.join(last, "clip_id").filter(F.greatest("start", "end") > F.col("last")), "range beyond the last frame"))
 
 
 def validate(documents: DataFrame, rules: Sequence[Rule] = CAPTURE_RULES) -> DataFrame:
@@ -264,7 +272,7 @@ def validate(documents: DataFrame, rules: Sequence[Rule] = CAPTURE_RULES) -> Dat
     table = rule_table(documents.sparkSession, rules)
     caps = cut(docs.typed(documents))  # six families of rules read it
     parts = [field_violations(docs.leaves(documents), table), document_violations(caps), sample_violations(caps),
-             packet_violations(caps), reference_violations(docs.events(caps), docs.packets(caps)),
+             packet_violations(caps), reference_violations(docs.events(caps), docs.packets(caps), caps.select("clip_id", F.col("meta.frame_count").alias("n"))),
              duplicate_violations(caps), range_violations(caps)]
     out = parts[0]
     for part in parts[1:]:

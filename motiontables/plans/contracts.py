@@ -69,9 +69,9 @@ ev AS (SELECT p_partkey, lower(p_brand) AS subject, 'brand#' || CAST(p_size % 30
 refs AS (SELECT p_partkey, subject, subject AS ref, false AS member FROM ev
          UNION ALL SELECT p_partkey, subject, m1, true FROM ev UNION ALL SELECT p_partkey, subject, m2, true FROM ev)
 SELECT '$.events.splits[' || CAST(p_partkey AS VARCHAR) || ']' AS path, message, count(*) AS "count" FROM (
-  SELECT p_partkey, 'unknown packet id' AS message FROM refs WHERE ref NOT IN (SELECT ref FROM ids)
-  UNION ALL SELECT p_partkey, 'self reference' FROM refs WHERE member AND ref = subject
-  UNION ALL SELECT p_partkey, 'expected at least two packets' FROM ev WHERE m1 = m2) v
+  SELECT p_partkey, 'no packet of this id' AS message FROM refs WHERE ref NOT IN (SELECT ref FROM ids)
+  UNION ALL SELECT p_partkey, 'subject among its own members' FROM refs WHERE member AND ref = subject
+  UNION ALL SELECT p_partkey, 'fewer than two members' FROM ev WHERE m1 = m2) v
 GROUP BY p_partkey, message
 """)
 def reference_check(spark, base) -> DataFrame:

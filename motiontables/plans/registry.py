@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import Catalog
 
-TOPICS = ("timelines", "measures", "contracts", "records", "tracks", "shapes", "signals")
+TOPICS = ("timelines", "measures", "contracts", "documents", "records", "tracks", "shapes", "signals")
 
 
 def full_catalog() -> Catalog:

@@ -67,8 +67,11 @@ def leaves(documents: DataFrame, version_path: str = "$.format_version") -> Data
 
 def typed(documents: DataFrame) -> DataFrame:
     """Typed capture per readable document; ``doc_id`` becomes ``clip_id``."""
-    return parsed(documents).filter("bad IS NULL").selectExpr(
-        "CAST(doc_id AS STRING) AS clip_id", f"{variant.shaped('v', T._parse_datatype_string(CAPTURE))} AS d").select("clip_id", "d.*")
+    # A filter would be pushed down, and carry the whole tree of levels with it; a generator stays where it is.
+    readable = parsed(documents).selectExpr("CAST(doc_id AS STRING) AS clip_id", "explode(CASE WHEN bad IS NULL THEN array(v) ELSE array() END) AS v")
+    members = readable.selectExpr("clip_id", f"{variant.folded_map('v', 'e', 'e.value')} AS members")
+    return members.selectExpr("clip_id", *[f"{variant.shaped(f'try_element_at(members, {f.name!r})', f.dataType)} AS {f.name}"
+                                           for f in T._parse_datatype_string(CAPTURE).fields])
 
 
 # ---- facts --------------------------------------------------------------
