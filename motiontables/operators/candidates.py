@@ -24,20 +24,25 @@ def near_best(df: DataFrame, keys: Sequence[str], error: str, depth: str, normal
               tolerance: float = 0.1, candidate: str = "candidate_id") -> DataFrame:
     """Candidates within a tolerance of the best error, their depth spread and normal angle.
 
-    ``df`` holds valid candidates. The best row is folded per key, then joined back.
+    A candidate of null error is invalid: it is counted, but never best nor near. A key without valid candidates keeps
+    its row. The best row is folded per key, then joined back.
     """
     payload = [F.col(error).alias("__e"), F.col(depth).alias("__d")]
     if normal is not None:
         payload.append(normal.alias("__n"))
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*payload), F.struct(error, candidate)).alias("__best"),
-                                 F.count(F.lit(1)).alias("valid_candidates"))
-    near = df.join(best, list(keys)).filter(F.col(error) <= F.col("__best.__e") + tolerance)
-    spread = (F.max(depth) - F.min(depth)) / F.max("__best.__d")
-    aggs = [F.count(F.lit(1)).alias("near_best"), spread.alias("depth_spread"), F.max("valid_candidates").alias("valid_candidates")]
+    valid = F.col(error).isNotNull()
+    best = df.groupBy(*keys).agg(F.min_by(F.when(valid, F.struct(*payload)), F.when(valid, F.struct(error, candidate))).alias("__best"),
+                                 F.count_if(valid).alias("valid_candidates"), F.count_if(~valid).alias("invalid_candidates"))
+    joined = df.join(best, list(keys))
+    is_near = F.coalesce(F.col(error) <= F.col("__best.__e") + tolerance, F.lit(False))
+    own = F.when(is_near, F.col(depth))
+    spread = (F.max(own) - F.min(own)) / F.max("__best.__d")
+    aggs = [F.count_if(is_near).alias("near_best"), spread.alias("depth_spread"), F.max("valid_candidates").alias("valid_candidates"),
+            F.max("invalid_candidates").alias("invalid_candidates")]
     if normal is not None:
         cosine = F.least(F.abs(dot(normal, F.col("__best.__n"))), F.lit(1.0))
-        aggs.append(F.max(F.acos(cosine)).alias("max_normal_angle"))
-    return near.groupBy(*keys).agg(*aggs)
+        aggs.append(F.max(F.when(is_near, F.acos(cosine))).alias("max_normal_angle"))
+    return joined.groupBy(*keys).agg(*aggs)
 
 
 def evidence_precedence(sources: Sequence[tuple[str, DataFrame]], keys: Sequence[str], payload: Sequence[str]) -> DataFrame:

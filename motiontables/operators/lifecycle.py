@@ -54,17 +54,21 @@ def membership_issues(df: DataFrame, keys: Sequence[str] = ("clip_id",), confirm
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-            width=FRAME_BLOCK) -> DataFrame:
+            width=FRAME_BLOCK, consecutive: bool = False) -> DataFrame:
     """(keys, start, end, rows, value, first_row, island) for runs of equal consecutive values.
 
-    ``start``/``end`` are values of ``order[0]``; null values form runs too.
+    ``start``/``end`` are values of ``order[0]``; null values form runs too. ``consecutive`` ends a run where
+    ``order[0]`` leaves out a number, too: within a run it rises as the row number does. A run is then named by
+    its first row.
     """
     rows = df.select(*keys, *order, F.col(value).alias("__value"))
     tagged = count_changes(rows, keys, order, F.col("__value"), lambda a, b: ~a.eqNullSafe(b), lambda v: F.lit(1),
                            "island", width, row_number="__rn")
-    return tagged.groupBy(*keys, "island").agg(
+    parts = [(F.col(order[0]) - F.col("__rn")).alias("__offset")] if consecutive else []
+    runs = tagged.groupBy(*keys, "island", *parts).agg(
         F.min(order[0]).alias("start"), F.max(order[0]).alias("end"), F.count(F.lit(1)).alias("rows"),
         F.min("__rn").alias("first_row"), F.first("__value", True).alias("value"))
+    return runs.drop("__offset").withColumn("island", F.col("first_row")) if consecutive else runs
 
 
 def confirmed_states(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, confirmation: int,
@@ -90,10 +94,11 @@ def lifecycle_changes(df: DataFrame, keys: Sequence[str] = ("clip_id",), confirm
 
     Changes whose overlap components are one-to-many or many-to-one are accepted. A clip
     with any other change replays its islands (not its rows) through a sequential fold,
-    because a rejected change leaves the old partition active.
+    because a rejected change leaves the old partition active. A frame nobody has seen ends
+    an island: ``confirmation`` frames in a row must show a partition.
     """
     rows = df.withColumn("__p", canonical_partition(F.col("groups")))
-    isl = cut(islands(rows, keys, ["frame"], "__p", width).filter(F.col("value").isNotNull()))
+    isl = cut(islands(rows, keys, ["frame"], "__p", width, consecutive=True).filter(F.col("value").isNotNull()))
     long = isl.filter(F.col("rows") >= confirmation)
     linked = block_scan(long, keys, ["island"], [Scan("prev", F.col("value"), "before")], width)
     bad = linked.filter(F.col("before").isNotNull() & (F.col("before") != F.col("value"))
@@ -246,7 +251,7 @@ def terminal_pending(df: DataFrame, keys: Sequence[str] = ("clip_id",), confirma
                      width: int = FRAME_BLOCK) -> DataFrame:
     """Partitions still unconfirmed when the clip ends."""
     rows = df.withColumn("__p", canonical_partition(F.col("groups")))
-    isl = islands(rows, keys, ["frame"], "__p", width)
+    isl = islands(rows, keys, ["frame"], "__p", width, consecutive=True)
     last = isl.groupBy(*keys).agg(F.max("island").alias("island"))
     tail = isl.join(last, [*keys, "island"]).filter(F.col("value").isNotNull() & (F.col("rows") < confirmation))
     active = lifecycle_changes(df, keys, confirmation, width).filter("accepted").groupBy(*keys).agg(

@@ -35,6 +35,7 @@ class Catalog:
 
 
 # The motion views as SQL, for reference queries.
+FRAME_COUNT = "(SELECT 4 * (date_diff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) + 1) FROM events)"
 EVENT_MS = ("(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 86400000"
             " + extract(hour FROM ts) * 3600000 + extract(minute FROM ts) * 60000"
             " + CAST(floor(extract(microsecond FROM ts) / 1000) AS BIGINT))")
@@ -42,7 +43,7 @@ EVENT_MS = ("(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 86400000"
 OBS = f"""
 obs AS (
   SELECT user_id AS clip_id,
-         CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 4
+         CAST(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) * 4
               + floor(extract(hour FROM ts) / 6) AS BIGINT) AS frame,
          CASE WHEN event_type IN ('click', 'view') THEN 'left' ELSE 'right' END AS side,
          event_id AS det_idx, event_type AS kind, value / 500.0 AS score,

@@ -152,18 +152,20 @@ def renest_roundtrip(spark, base) -> DataFrame:
 
 
 @catalog.add("upgrade_preserves", """
-SELECT doc_id, '1.1' AS format_version, sha256(text) AS text_sha256, sha256(source) AS source_sha256 FROM documents
+SELECT doc_id, '1.1' AS format_version, sha256(text) AS text_sha256, sha256(source) AS source_sha256, 0 AS changed FROM documents
 """)
 def upgrade_preserves(spark, base) -> DataFrame:
-    """Documents wrapped as version 1.0 records, upgraded, and read back: only the version moved."""
+    """Documents wrapped as version 1.0 records, upgraded, and read back: only the version moved, at no other path a value."""
     d = table(spark, base, "documents")
     wrapped = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.to_json(F.struct(
         F.lit("1.0").alias("format_version"), "text", "source")).alias("text"))
     up = docs.upgrade_version(wrapped)
     parsed = up.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.from_json("text", "format_version string, text string, source string").alias("d"))
-    return parsed.select("doc_id", "d.format_version", F.sha2("d.text", 256).alias("text_sha256"),
-                         F.sha2("d.source", 256).alias("source_sha256"))
+    changed = docs.preserved(wrapped, up).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("changed"))
+    return parsed.join(changed, "doc_id", "left").select(
+        "doc_id", "d.format_version", F.sha2("d.text", 256).alias("text_sha256"), F.sha2("d.source", 256).alias("source_sha256"),
+        F.coalesce("changed", F.lit(0)).alias("changed"))
 
 
 @catalog.add("ascii_folding", """

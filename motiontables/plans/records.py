@@ -152,3 +152,29 @@ def group_overlaps(spark, base) -> DataFrame:
 
     new = li.filter(F.col("l_discount") >= 0.05)
     return lifecycle.group_overlaps(groups(li, "l_returnflag"), groups(new, "l_linenumber"), ["k"])
+
+
+# Three partitions of four members, each a split or a merge of any other; six-hour slots without an event are holes.
+MEMBERS = f"""{OBS},
+one AS (SELECT clip_id, frame, min(det_idx) AS id FROM obs GROUP BY clip_id, frame),
+m AS (SELECT one.clip_id, one.frame, CASE WHEN obs.kind = 'error' THEN NULL WHEN id % 3 = 0 THEN 'a,b,c,d' WHEN id % 3 = 1 THEN 'a,b|c,d' ELSE 'a|b|c,d' END AS p
+      FROM one JOIN obs ON obs.det_idx = one.id)"""
+
+
+@catalog.add("lifecycle_changes", f"""
+WITH {MEMBERS},
+o AS (SELECT *, lag(p) OVER w AS q, lag(frame) OVER w AS f FROM m WINDOW w AS (PARTITION BY clip_id ORDER BY frame)),
+g AS (SELECT *, sum(CASE WHEN f IS NULL OR frame <> f + 1 OR p IS DISTINCT FROM q THEN 1 ELSE 0 END) OVER (PARTITION BY clip_id ORDER BY frame) AS run FROM o),
+r AS (SELECT clip_id, run, min(frame) AS s, max(frame) AS e, count(*) >= 2 AS long, min(p) AS value FROM g WHERE p IS NOT NULL GROUP BY clip_id, run),
+b AS (SELECT *, last_value(CASE WHEN long THEN value END IGNORE NULLS) OVER (PARTITION BY clip_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM r),
+l AS (SELECT *, last_value(CASE WHEN long OR previous = value THEN e END IGNORE NULLS)
+        OVER (PARTITION BY clip_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_old FROM b)
+SELECT clip_id, s AS start, s + 1 AS confirmed_at, value, previous, last_old, true AS accepted FROM l WHERE long AND previous IS DISTINCT FROM value
+""")
+def lifecycle_changes(spark, base) -> DataFrame:
+    """Splits and merges that two frames in a row confirm; a frame without observation confirms nothing."""
+    rows = observations(spark, base).groupBy("clip_id", "frame").agg(F.min(F.struct("det_idx", "kind")).alias("one"))
+    text = F.when(F.col("one.kind") == "error", None).otherwise(F.element_at(F.array(
+        F.lit("a,b,c,d"), F.lit("a,b|c,d"), F.lit("a|b|c,d")), (F.col("one.det_idx") % 3 + 1).cast("int")))
+    changes = lifecycle.lifecycle_changes(rows.select("clip_id", "frame", lifecycle.parse_partition(text).alias("groups")), confirmation=2)
+    return changes.select("clip_id", "start", "confirmed_at", "value", "previous", "last_old", "accepted")

@@ -201,19 +201,21 @@ def best_candidate(spark, base) -> DataFrame:
 
 @catalog.add("near_best", """
 WITH c AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS id, l_suppkey, l_discount AS e, l_quantity AS d, l_tax * 10 AS a FROM lineitem WHERE l_discount <= 0.08),
+keys AS (SELECT l_partkey, count(*) FILTER (WHERE l_discount > 0.08) AS invalid FROM lineitem GROUP BY l_partkey),
 b AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY e, id, l_suppkey) AS rn, count(*) OVER (PARTITION BY l_partkey) AS valid FROM c),
 n AS (SELECT c.l_partkey, c.d, c.a, b.d AS bd, b.a AS ba, b.valid FROM c JOIN b ON b.l_partkey = c.l_partkey AND b.rn = 1 AND c.e <= b.e + 0.015)
-SELECT l_partkey, count(*) AS near_best, round((max(d) - min(d)) / max(bd), 8) AS depth_spread, max(valid) AS valid_candidates,
-       round(max(acos(least(abs(cos(a - ba)), 1))), 6) AS max_normal_angle FROM n GROUP BY l_partkey
+SELECT keys.l_partkey, count(n.d) AS near_best, round((max(d) - min(d)) / max(bd), 8) AS depth_spread, coalesce(max(valid), 0) AS valid_candidates,
+       max(invalid) AS invalid_candidates, round(max(acos(least(abs(cos(a - ba)), 1))), 6) AS max_normal_angle
+FROM keys LEFT JOIN n ON n.l_partkey = keys.l_partkey GROUP BY keys.l_partkey
 """)
 def near_best(spark, base) -> DataFrame:
     a = F.col("l_tax") * 10
-    c = table(spark, base, "lineitem").filter(F.col("l_discount") <= 0.08).select(
+    c = table(spark, base, "lineitem").select(
         "l_partkey", F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("a"), "l_suppkey").alias("candidate_id"),
-        F.col("l_discount").alias("e"), F.col("l_quantity").alias("d"), F.array(F.cos(a), F.sin(a), F.lit(0.0)).alias("normal"))
+        F.when(F.col("l_discount") <= 0.08, F.col("l_discount")).alias("e"), F.col("l_quantity").alias("d"), F.array(F.cos(a), F.sin(a), F.lit(0.0)).alias("normal"))
     n = candidates.near_best(c, ["l_partkey"], "e", "d", F.col("normal"), 0.015)
     return n.select("l_partkey", "near_best", F.round("depth_spread", 8).alias("depth_spread"), "valid_candidates",
-                    F.round("max_normal_angle", 6).alias("max_normal_angle"))
+                    "invalid_candidates", F.round("max_normal_angle", 6).alias("max_normal_angle"))
 
 
 @catalog.add("perturbation_spread", """

@@ -10,8 +10,8 @@ from ..functions.rotation import quat_to_axis_angle
 from ..functions.text import range_text
 from ..functions.vectors import let, norm
 from ..operators import fill, ranges, selection, timeline
-from ..sources.warehouse import FRAMES_PER_CLIP, event_ms, frame_count, observations, table
-from .base import EVENT_MS, GROUPS, OBS, Catalog
+from ..sources.warehouse import event_ms, frame_count, observations, table
+from .base import EVENT_MS, FRAME_COUNT, GROUPS, OBS, Catalog
 
 catalog = Catalog.empty()
 LOW_SCORE = 0.1
@@ -118,7 +118,7 @@ other AS (SELECT clip_id, frame AS source_frame, count(*) AS hands FROM obs
 target AS (SELECT clip_id, frame, CAST(floor((frame / 4.0 + 0.375) * 2.0 + 0.5) AS BIGINT) AS source_frame
            FROM primary_view)
 SELECT t.clip_id, t.frame, t.source_frame, o.hands,
-       t.source_frame BETWEEN 0 AND 59 AND o.hands IS NOT NULL AS available
+       t.source_frame BETWEEN 0 AND {FRAME_COUNT} // 2 - 1 AND o.hands IS NOT NULL AS available
 FROM target t LEFT JOIN other o USING (clip_id, source_frame)
 """)
 def align_two_views(spark, base) -> DataFrame:
@@ -253,7 +253,7 @@ def missing_sides(spark, base) -> DataFrame:
 # The dense SQL timeline: neighbours per (clip, side, frame) by windows over a full grid.
 DENSE = GROUPS + f""",
 sides AS (SELECT DISTINCT clip_id, side FROM kept),
-grid AS (SELECT clip_id, side, f AS frame FROM sides, range(0, {FRAMES_PER_CLIP}) r(f)),
+grid AS (SELECT clip_id, side, f AS frame FROM sides, (SELECT unnest(range(0, {FRAME_COUNT})) AS f) r),
 joined AS (
   SELECT g.clip_id, g.side, g.frame, k.frame AS seen, k.x, k.y, k.z, k.score, k.angle
   FROM grid g LEFT JOIN kept k USING (clip_id, side, frame)),

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FRAMES_PER_CLIP = 120
 LEFT_KINDS = ("click", "view")
 SCORE_UNIT = 500.0
 
@@ -30,10 +29,16 @@ def event_ms(ts: Column) -> Column:
     return seconds * 1000 + F.floor(micros / 1000)
 
 
+def first_day(spark: SparkSession, base: str) -> Column:
+    """The day of the earliest event, as a subquery: the timeline that all clips share begins there."""
+    return table(spark, base, "events").agg(F.min(F.col("ts").cast("date"))).scalar()
+
+
 def frame_count(spark: SparkSession, base: str) -> int:
-    """Frames of the timeline that all clips share: four a day from 2024-01-01 to the last day of the events."""
-    last = table(spark, base, "events").agg(F.max(event_day(F.col("ts")))).first()[0]
-    return 0 if last is None else max(0, 4 * (last + 1))
+    """Frames of the timeline that all clips share: four a day from the first to the last day of the events."""
+    days = F.date_diff(F.max(F.col("ts").cast("date")), F.min(F.col("ts").cast("date")))
+    last = table(spark, base, "events").agg(days).first()[0]
+    return 0 if last is None else 4 * (last + 1)
 
 
 def observations(spark: SparkSession, base: str) -> DataFrame:
@@ -43,7 +48,7 @@ def observations(spark: SparkSession, base: str) -> DataFrame:
     half = F.col("value") * (F.pi() / SCORE_UNIT) / 2
     return e.select(
         F.col("user_id").alias("clip_id"),
-        (event_day(F.col("ts")) * 4 + F.floor(F.hour("ts") / 6)).cast("long").alias("frame"),
+        (F.date_diff(F.col("ts").cast("date"), first_day(spark, base)) * 4 + F.floor(F.hour("ts") / 6)).cast("long").alias("frame"),
         F.when(F.col("event_type").isin(*LEFT_KINDS), "left").otherwise("right").alias("side"),
         F.col("event_id").alias("det_idx"),
         F.col("event_type").alias("kind"),

@@ -98,7 +98,9 @@ def fresh_lifecycle() -> dict:
 
 
 def lifecycle_step(state: dict, frame: int, partition: str | None, confirmation: int) -> list[dict]:
-    """Advance one frame; partition is the canonical text or None when unknown."""
+    """Advance one frame; partition is the canonical text or None when unknown. A frame left out ends a pending run."""
+    if state["last"] is not None and frame != state["last"] + 1:
+        state.update(pending=None, count=0)
     state["last"] = frame
     active = "|".join(sorted(state["active"]))
     if partition is None or partition == active:

@@ -162,6 +162,12 @@ def test_lifecycle_fixtures(lifecycles):
     assert of("short", tail) == {(4, "a,b")}
 
 
+def test_a_change_is_not_confirmed_over_a_hole(spark):
+    rows = [("c", f, AB) for f in (0, 1)] + [("c", f, A_B) for f in (2, 9)] + [("d", f, g) for f, g in ((0, AB), (1, AB), (2, A_B), (9, A_B), (10, A_B))]
+    changes = lifecycle.lifecycle_changes(spark.createDataFrame(rows, MEMBERSHIP), confirmation=2).filter("previous IS NOT NULL")
+    assert [(r.clip_id, r.start, r.confirmed_at, r.last_old) for r in changes.collect()] == [("d", 9, 10, 1)]
+
+
 def test_lifecycle_equals_sequential_machine(spark):
     rng = random.Random(2)
     shapes = [[["a", "b", "c"]], [["a", "b"], ["c"]], [["a"], ["b"], ["c"]], [["a", "c"], ["b"]], None]
@@ -174,7 +180,7 @@ def test_lifecycle_equals_sequential_machine(spark):
                 rows.append((f"c{clip}", frame, shape))
                 text = None if shape is None else "|".join(sorted(",".join(sorted(g)) for g in shape))
                 events += stateful.lifecycle_step(state, frame, text, 2)
-                frame += 1
+                frame += 1 if clip % 2 else rng.choice((1, 1, 1, 3))  # every second clip has holes
         events += stateful.lifecycle_finish(state)
         expected[f"c{clip}"] = (
             {(e["event"], e["frame"], e["confirmed_at"]) for e in events if e["event"] in ("split", "merge", "unresolved")},
