@@ -83,7 +83,9 @@ class Automaton:
         for w in words:
             at = self._extend(at, w)
             path.append(at)
-        if 0 < len(words) < self.window:
+        if self.window == 1:  # a window is a word, and no pair leads to it
+            self.short.setdefault(1, set()).update(run_hash([w]) for w in words)
+        elif 0 < len(words) < self.window:
             self.short.setdefault(len(words), set()).add(run_hash(words))
         else:
             self.pairs.update(zip(words, words[1:]))

@@ -186,8 +186,9 @@ def alike_in_size(a: str, b: str, percent: int):
 
 
 def star_pairs(keyed: DataFrame, percent: int) -> DataFrame:
-    """Each member of a bucket with the leader of the bucket, which a hash chooses."""
-    order = F.struct(F.xxhash64("node", "key").alias("o"), "node", "size")
+    """Each member of a bucket with the leader of the bucket. A hash of the document alone chooses, so one document leads
+    most buckets of a group, and ``distinct`` folds what they have in common."""
+    order = F.struct(F.xxhash64("node").alias("o"), "node", "size")
     leaders = keyed.groupBy("key").agg(F.min(order).alias("m")).select("key", "m.node", "m.size").toDF("key", "lead", "lead_size")
     return (keyed.join(leaders, "key").where((F.col("node") != F.col("lead")) & alike_in_size("size", "lead_size", percent))
             .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
@@ -317,8 +318,8 @@ def across(keyed: DataFrame, classes: DataFrame, comps: DataFrame, docs: DataFra
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked with,
     over any number of links), kept (it is that document). Links have a similarity of percent / 100 or more."""
-    if not 50 <= percent <= 100 or shingle < 1:
-        raise ValueError("percent is 50..100, shingle at least 1")
+    if not 80 <= percent <= 100 or shingle < 1:
+        raise ValueError("percent is 80..100, as chunks and errors of the index are made for these; shingle at least 1")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
     rows = written(signed(docs, shingle))
     full = rows.where("n_shingles > 0")

@@ -348,3 +348,21 @@ def test_licenses(spark, none):
     assert [(r.doc_id, r.license) for r in got] == [(1, "MIT"), (2, "Apache-2.0"), (5, None), (6, "GPL-2.0"), (6, "GPL-3.0")]
     assert (got[0].start, got[0].end, got[0].differences) == (2, 33, []) and got[1].differences == ["replace: license -> licence"]
     assert licenses.license_blocks(none).count() == 0
+
+
+def test_windows_of_one_word(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma beta"), (2, "delta"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "beta"), (8, "Gamma beta"), (9, "")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r.item_ids)) for r in decontamination.matched(docs, items, window=1).collect()}
+    assert got == {1: (3, [7, 8]), 2: (0, []), 3: (0, [])}
+
+
+def test_near_duplicates_refuse_what_the_index_cannot_find(docs):
+    with pytest.raises(ValueError):
+        near_duplicates.near_duplicates(docs, 2, 79)
+
+
+def test_one_leader_for_the_buckets_of_a_group(spark):
+    """300 near copies: about one pair a document, not one for each of its keys."""
+    keyed = spark.range(300).withColumnRenamed("id", "node").crossJoin(spark.range(50).withColumnRenamed("id", "key")).withColumn("size", F.lit(40).cast("long"))
+    assert near_duplicates.star_pairs(keyed, 80).count() == 299
