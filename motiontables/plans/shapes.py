@@ -58,7 +58,7 @@ def displacement(spark, base) -> DataFrame:
 @catalog.add("motion_verdicts", f"""
 WITH {OBS}, t AS (SELECT clip_id, frame, side, avg(z) / 30 AS ip, avg(z) / 60 AS ir, avg(x) / 40 AS cp, avg(x) / 60 AS cr FROM obs GROUP BY 1, 2, 3),
 f AS (SELECT clip_id, frame, bool_and(ip <= 2) AS iok, bool_and(cp <= 2) AS cok, bool_or(cp > 3 AND cr - ir >= 1) AS sep FROM t GROUP BY 1, 2)
-SELECT clip_id, frame, CASE WHEN iok AND cok THEN 'shared_motion_compatible' WHEN iok AND sep THEN 'separate_models_better_supported' ELSE 'unknown' END AS verdict FROM f
+SELECT clip_id, frame, CASE WHEN iok AND cok THEN 'one_motion_suffices' WHEN iok AND sep THEN 'two_motions_fit_better' ELSE 'unknown' END AS verdict FROM f
 """)
 def motion_verdicts(spark, base) -> DataFrame:
     x, z = F.avg(F.col("trans").getItem(0)), F.avg(F.col("trans").getItem(2))

@@ -17,8 +17,8 @@ def base():
     frame = {"frame": 0, "confidence": .8, "global_trans_cm": [1, 2, 3], "global_rot_quat": Q,
              "joint_positions_cm": [[0.0, 0.0, 0.0]] * 21, "bone_rotations": {b: Q for b in bone_names("left")[1:]}, "occluded_joints": [3]}
     return {"format_version": "1.0",
-            "meta": {"source_video": "v", "fps": 30, "frame_count": 3, "resolution": [640, 480], "processed_at": "t", "pipeline_version": "p"},
-            "camera": {"intrinsics": {"fx": 600, "fy": 600, "cx": 320, "cy": 240}, "distortion": [0, 0, 0, 0, 0], "calibrated": False},
+            "meta": {"source_video": "v", "fps": 24, "frame_count": 3, "resolution": [800, 600], "processed_at": "t", "pipeline_version": "p"},
+            "camera": {"intrinsics": {"fx": 710, "fy": 705, "cx": 401, "cy": 299}, "distortion": [0, 0, 0, 0, 0], "calibrated": False},
             "scale": {"meters_per_unit": 1, "anchor_method": "card_pnp", "confidence": .5, "anchor_frames": [0]},
             "hands": [{"side": "left", "mano_shape": [0] * 10, "frames": [frame]}],
             "packets": [{"id": "P1", "birth_frame": 0, "death_frame": 2, "card_count_estimate": 1, "card_count_confidence": .5,
@@ -28,7 +28,7 @@ def base():
                         {"id": "p2", "birth_frame": 0, "death_frame": 2, "card_count_estimate": 2, "card_count_confidence": .5, "dimensions_cm": [6, 9, 1], "frames": []},
                         {"id": "p3", "birth_frame": 0, "death_frame": 2, "card_count_estimate": 2, "card_count_confidence": .5, "dimensions_cm": [6, 9, 1], "frames": []}],
             "events": {"splits": [{"frame": 1, "source": "p1", "results": ["P2", "p3"]}], "merges": [], "releases": []},
-            "quality": {"mean_hand_confidence": .5, "low_confidence_ranges": [[1, 2]], "mean_reprojection_error_px": None, "warnings": []}}
+            "quality": {"mean_hand_confidence": .5, "low_confidence_ranges": [[0, 1]], "mean_reprojection_error_px": None, "warnings": []}}
 
 
 def v12():
@@ -96,7 +96,7 @@ CASES = [
     ("event_self", put(base(), ("events", "splits", 0, "results"), ["p1", "p2"]), "$.events.splits[0]"),
     ("event_single", put(base(), ("events", "splits", 0, "results"), ["p2"]), "$.events.splits[0]"),
     ("packet_twice", put(base(), ("packets", 1, "id"), "P1"), "$.packets[*].id"),
-    ("ranges", put(base(), ("quality", "low_confidence_ranges"), [[1, 2], [2, 2]]), "$.quality.low_confidence_ranges[1]"),
+    ("ranges", put(base(), ("quality", "low_confidence_ranges"), [[0, 1], [1, 1]]), "$.quality.low_confidence_ranges[1]"),
     ("mask", put(v12(), ("validity", "metric_scale"), True), "$.validity.metric_scale"),
     ("units", put(v12(), ("provenance", "coordinate_units"), "ue_centimeters"), "$.provenance.coordinate_units"),
     ("assumptions", put(v12(), ("provenance", "assumptions"), []), "$.provenance.assumptions"),
@@ -109,7 +109,7 @@ CASES = [
     ("local_packets", put(v13(), ("packets",), base()["packets"]), "$.packets"),
     ("inter_hand", put(v13(), ("validity", "inter_hand_transform"), True), "$.validity.inter_hand_transform"),
 ]
-RAW = [("nan", json.dumps(base()).replace('"fps": 30', '"fps": NaN')), ("twice", '{"a": 1, "A": 2}'), ("broken", '{"a": ')]
+RAW = [("nan", json.dumps(base()).replace('"fps": 24', '"fps": NaN')), ("twice", '{"a": 1, "A": 2}'), ("broken", '{"a": ')]
 
 
 @pytest.fixture(scope="module")
@@ -151,7 +151,7 @@ def test_files_and_upgrade(spark, tmp_path):
     up = docs.upgrade_version(d)
     assert json.loads(up.collect()[0].text)["format_version"] == "1.1"
     assert docs.preserved(d, up).count() == 0
-    changed = up.withColumn("text", F.regexp_replace("text", '"fps": 30', '"fps": 30.0'))
+    changed = up.withColumn("text", F.regexp_replace("text", '"fps": 24', '"fps": 24.0'))
     assert [r.path for r in docs.preserved(d, changed).collect()] == ["$.meta.fps"]
 
 
@@ -185,3 +185,32 @@ def test_estimates_prompts_and_seeds(spark):
     got = {(r.object_id, r.message) for r in contract.seed_violations(seeds).collect()}
     assert got == {("a", "seeds must share one reference frame"), ("b", "seeds must share one reference frame"), ("b", "recorded area differs"),
                    ("b", "invalid mask hash"), ("b", "provenance required")}
+
+
+@pytest.mark.parametrize("text", ['{"a": 1} x', '{"a": 1}{"b": 2}', '{"a": 1}}', '{"a": 1}, "b": 2', "[1]", "", "null", '{"a": 1e999}', '{"a": {"B": 1, "b": 2}}',
+                                  '{"a": ' + "[" * 14 + '"x", 1' + "]" * 14 + "}"])
+def test_only_one_strict_object_is_a_document(spark, text):
+    d = spark.createDataFrame([("x", text)], "doc_id string, text string")
+    assert [(r.path, r.kind) for r in docs.leaves(d).collect()] == [("$", "invalid")] and docs.typed(d).count() == 0
+
+
+def test_leaves_keep_kinds(spark):
+    d = spark.createDataFrame([("x", '{"Format_Version": "1.2", "n": 1.0, "l": [1, 2.5], "s": ["a", "b"], "m": [1, "a", null], "t": true}')], "doc_id string, text string")
+    got = {r.path: (r.version, r.kind, r.number, r.is_integral, r.size) for r in docs.leaves(d).collect()}
+    assert got["$.n"] == ("1.2", "number", 1.0, True, None) and got["$.l"] == ("1.2", "numbers", None, False, 2)
+    assert got["$.s"][1] == "strings" and got["$.m"][1] == "list" and got["$.m[2]"][1] == "null" and got["$.t"][1] == "boolean"
+
+
+def test_bounds_of_events_and_ranges(found_bounds):
+    assert found_bounds["late_event"] == {("$.events.splits[0]", "event outside the timeline")}
+    assert found_bounds["late_range"] == {("$.quality.low_confidence_ranges[0]", "range beyond the last frame")}
+
+
+@pytest.fixture(scope="module")
+def found_bounds(spark):
+    rows = [("late_event", put(base(), ("events", "splits", 0, "frame"), 3)), ("late_range", put(base(), ("quality", "low_confidence_ranges"), [[1, 3]]))]
+    v = contract.validate(spark.createDataFrame([(n, json.dumps(d)) for n, d in rows], "doc_id string, text string"))
+    out = {}
+    for r in v.collect():
+        out.setdefault(r.doc_id, set()).add((r.path, r.message))
+    return out

@@ -123,9 +123,9 @@ def test_anchor_reasons(spark):
     df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
     got = df.select(scale.anchor_reasons().alias("why"), scale.anchor_ratio().alias("ratio")).collect()
     assert got[0].why == [] and got[0].ratio == pytest.approx(2.0)
-    assert got[1].why == ["pose_not_calibrated", "candidate_outside_near_best_set"]
+    assert got[1].why == ["candidate_not_near_best", "unconfirmed_calibrated"]
     assert got[2].why == [] and got[2].ratio == pytest.approx(2.0)
-    assert got[3].why == ["point_not_related_by_uniform_scale"]
+    assert got[3].why == ["points_are_no_multiples"]
 
 
 def test_quad_focal_recovers_a_known_camera(spark):
