@@ -1,9 +1,17 @@
 """Exact medians and percentiles of groups that may not fit one task.
 
 The built-in ``percentile`` keeps every distinct value of a group in one aggregation
-buffer. Here a mergeable sketch only *locates* each requested rank; the exact answer then
-comes from the few rows between two sketch bounds, counted per value before the shuffle.
-Results equal linear interpolation between order statistics.
+buffer. Here a rank is found by narrowing histograms. Equal values are counted first, with
+partial counts before the shuffle. The distinct values fall into coarse bins that follow
+the floating-point scale (1024 to an octave, so an outlier does not widen the bins of the
+rest), each coarse bin into fine bins. The bin that holds a rank is read off the running
+counts of the coarse bins, then of the fine bins inside it, then of the values inside that.
+No step orders more than about four million rows of a group however many values it has:
+the width of a bin is a share of the 64 bits of a double. One plan serves all sizes and
+nothing is computed while it is built.
+
+Results equal linear interpolation between order statistics. Null and NaN values are left
+out; a group without others has no row; null is a group key like any other.
 """
 
 from __future__ import annotations
@@ -13,67 +21,69 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage_cut import cut
-
-SKETCH = 10000
-SMALL_GROUP = 100_000
+COARSE, FINE = 2.0**10, 2.0**21  # bins of an octave, bins of a coarse bin
+EXPONENTS, OCTAVE = 1100, 2**12  # lifts every exponent above zero; room of an octave in the bin number
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float],
-                    sketch: int = SKETCH, small: int = SMALL_GROUP) -> DataFrame:
-    """One row per group: ``n`` (values present) and one column per named probability.
+def bins(v: Column) -> tuple[Column, Column]:
+    """Numbers of the coarse and the fine bin; ordered by both, values never decrease.
 
-    Groups up to ``small`` values use the built-in exact aggregate, whose state they bound.
-    Larger groups are found by a cheap count first; the driver only learns whether any exist.
+    The exponent comes from a logarithm and may be one off next to a power of two. It never
+    decreases with the value, and inside one exponent the mantissa keeps the order.
     """
-    if not keys:
-        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, sketch, small)
-        return whole.drop("__all")
+    size = F.abs(v)
+    exponent = F.least(F.floor(F.log2(size)), F.lit(1024.0)).cast("long")
+    scaled = F.when(exponent < 1024, size / F.pow(F.lit(2.0), exponent.cast("double")) * COARSE).otherwise(0.0)
+    sign = F.when(v < 0, -1).otherwise(1)
+    coarse = F.when(v == 0, 0).otherwise(sign * (1 + (exponent + EXPONENTS) * OCTAVE + F.floor(scaled)))
+    fine = F.when(v == 0, 0).otherwise(sign * F.floor((scaled - F.floor(scaled)) * FINE))
+    return coarse.cast("long"), fine.cast("long")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float]) -> DataFrame:
+    """One row per group: ``n`` (values present) and one column per named probability."""
     keys = list(keys)
-    data = df.select(*keys, value.cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    large = cut(data.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > small).select(*keys))
-    if large.isEmpty():
-        return bounded_quantiles(data, keys, F.col("__v"), probs)
-    rest = bounded_quantiles(data.join(large, keys, "left_anti"), keys, F.col("__v"), probs)
-    return rest.unionByName(_bracketed(data.join(large, keys, "left_semi"), keys, probs, sketch))
-
-
-def _bracketed(data: DataFrame, keys: list[str], probs: dict[str, float], sketch: int) -> DataFrame:
-    names, points = list(probs), [float(p) for p in probs.values()]
-    slack = 3.0 / sketch
-    cuts = [min(max(p + d, 0.0), 1.0) for p in points for d in (-slack, slack)]
-    bounds = data.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-        F.percentile_approx("__v", [float(c) for c in cuts], sketch).alias("__cut"))
-    # Below this size the one-rank gap between p*n and p*(n-1) exceeds the slack.
-    whole = F.col("n") <= 4 * sketch
-    edges = [F.when(whole | F.lit(c <= 0.0 or c >= 1.0), F.col("__min" if i % 2 == 0 else "__max"))
-             .otherwise(F.col("__cut").getItem(i)) for i, c in enumerate(cuts)]
-    located = bounds.select(*keys, "n", F.array(*edges).alias("__edge"))
-    targets = F.array(*[F.struct(
-        F.lit(i).alias("__i"), F.lit(p).alias("__p"),
-        F.col("__edge").getItem(2 * i).alias("__lo"), F.col("__edge").getItem(2 * i + 1).alias("__hi"))
-        for i, p in enumerate(points)])
-    tagged = data.join(located, keys)
-    point = [*keys, "n", "__i", "__p"]
-    # Values below a bracket collapse to one counter; values inside stay, counted per value.
-    placed = tagged.select(*keys, "n", "__v", F.inline(targets)).filter(F.col("__v") <= F.col("__hi")).select(
-        *point, F.when(F.col("__v") >= F.col("__lo"), F.col("__v")).alias("__x"))
-    counted = placed.groupBy(*point, "__x").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*keys, "__i").orderBy(F.col("__x").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, 0)
-    rank = F.col("__p") * (F.col("n") - 1)
-    ranked = counted.withColumn("__upto", F.sum("__c").over(w)).withColumn(
-        "__from", F.col("__upto") - F.col("__c"))
-
-    def at(r):
-        inside = F.col("__x").isNotNull() & (r >= F.col("__from")) & (r < F.col("__upto"))
-        return F.max(F.when(inside, F.col("__x")))
-
-    per_point = ranked.groupBy(*point).agg(at(F.floor(rank)).alias("__a"), at(F.ceil(rank)).alias("__b"))
-    value_at = F.col("__a") + (F.col("__b") - F.col("__a")) * (rank - F.floor(rank))
-    return per_point.groupBy(*keys, "n").agg(
-        *[F.max(F.when(F.col("__i") == i, value_at)).alias(n) for i, n in enumerate(names)])
+    # A struct is never null itself: joins on it keep null keys and push no filter into one branch only,
+    # so both readers of a histogram share its exchange.
+    group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("__all"))
+    data = df.select(group.alias("__g"), value.cast("double").alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    coarse, fine = bins(F.col("__v"))
+    values = data.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__c")).select(
+        F.struct("__g", coarse.alias("bin"), fine.alias("part")).alias("__f"), "__v", "__c")
+    parts = values.groupBy("__f").agg(F.sum("__c").alias("__c")).select(
+        F.struct("__f.__g", "__f.bin").alias("__b"), F.col("__f.part").alias("__part"), "__f", "__c")
+    whole = parts.groupBy("__b").agg(F.sum("__c").alias("__c")).select(
+        F.col("__b.__g").alias("__g"), F.col("__b.bin").alias("__bin"), "__b", "__c")
+
+    n = F.sum("__c").over(Window.partitionBy("__g"))
+    asked = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(high).alias("high"), (F.ceil if high else F.floor)(
+        F.lit(float(p)) * (F.col("n") - 1)).cast("long").alias("rank"))
+        for i, p in enumerate(probs.values()) for high in (False, True)])
+    counted = _running(whole.withColumn("n", n), ["__g"], "__bin")
+    inside = lambda t: (t["rank"] >= F.col("__from")) & (t["rank"] < F.col("__from") + F.col("__c"))
+    found = counted.select("__b", "n", "__from", F.inline(F.filter(asked, inside))).select(
+        "__b", "n", "i", "high", (F.col("rank") - F.col("__from")).alias("rank"))
+    for rows, key, order, into in ((parts, "__b", "__part", "__f"), (values, "__f", "__v", "__v")):
+        met = _running(rows.join(found, key), [key, "i", "high"], order)
+        group = F.col(f"{key}.__g").alias("__g")
+        found = met.filter((F.col("rank") >= F.col("__from")) & (F.col("rank") < F.col("__from") + F.col("__c"))).select(
+            group, into, "n", "i", "high", (F.col("rank") - F.col("__from")).alias("rank"))
+    out = found.groupBy("__g", "n").agg(*[
+        F.max(F.when((F.col("i") == i) & (F.col("high") == high), F.col("__v"))).alias(f"__{i}{high}")
+        for i in range(len(probs)) for high in (False, True)])
+
+    def between(i: int, p: float) -> Column:
+        low, high, rank = F.col(f"__{i}False"), F.col(f"__{i}True"), F.lit(float(p)) * (F.col("n") - 1)
+        return F.when(low == high, low).otherwise(low + (high - low) * (rank - F.floor(rank)))
+
+    return out.select(*[F.col("__g").getField(k).alias(k) for k in keys], "n",
+                      *[between(i, p).alias(name) for i, (name, p) in enumerate(probs.items())])
+
+
+def _running(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Adds ``__from``, the count of all rows before this one."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("__from", F.coalesce(F.sum("__c").over(before), F.lit(0)))
 
 
 def bounded_quantiles(df: DataFrame, keys: Sequence[str], value: Column, probs: dict[str, float]) -> DataFrame:

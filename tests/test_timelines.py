@@ -162,17 +162,47 @@ def test_hopping_windows_are_right_aligned(spark):
         assert got == {(s, f) for s in starts for f in range(s, s + size)}
 
 
-@pytest.mark.parametrize("sketch,small", [(20, 3), (10000, 3), (10000, 100000)])
-def test_exact_quantiles_equal_numpy(spark, sketch, small):
+def test_exact_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(5)
-    groups = {"big": rng.integers(0, 400, 5000) / 7, "small": rng.normal(size=9), "one": np.array([4.0]), "ties": np.ones(800)}
-    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
+    powers = 2.0 ** rng.integers(-1074, 1023, 3000)
+    groups = {"big": rng.integers(0, 400, 5000) / 7, "small": rng.normal(size=9), "one": np.array([4.0]), "ties": np.ones(800),
+              "outlier": np.concatenate([rng.normal(size=2000), [1e300, -1e300]]),
+              "powers": np.concatenate([powers, np.nextafter(powers, 0), -np.nextafter(powers, np.inf)]),
+              "close": 1.0 + rng.integers(0, 500, 3000) * 2.0**-52,  # one fine bin
+              "zeros": np.array([-0.0, 0.0, 0.0, -1e-320, 1e-320]), None: rng.normal(size=50)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs]
+                               + [("big", None), ("big", float("nan")), ("absent", None)], "k string, v double").repartition(5)
     probs = {"p0": 0.0, "p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    got = {r.k: r for r in exact_quantiles(df, ["k"], F.col("v"), probs, sketch, small).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], F.col("v"), probs).collect()}
+    assert set(got) == set(groups)
     for k, vs in groups.items():
         assert got[k].n == len(vs)
         for name, p in probs.items():
-            assert got[k][name] == pytest.approx(float(np.quantile(vs, p)))
+            assert got[k][name] == pytest.approx(float(np.quantile(vs, p)), rel=1e-14, abs=1e-323), (k, name)
+
+
+def test_exact_quantiles_at_the_ends_of_the_doubles(spark):
+    ends = [float("inf")] * 3 + [1.7976931348623157e308] * 3 + [5e-324] * 3 + [-5e-324] * 3 + [-1.7976931348623157e308] * 3 + [float("-inf")] * 3
+    got = exact_quantiles(spark.createDataFrame([(v,) for v in ends], "v double"), [], F.col("v"),
+                          {str(i): i / 17 for i in range(18)}).collect()[0]
+    assert got.n == 18 and [got[str(i)] for i in range(18)] == sorted(ends)
+    empty = exact_quantiles(spark.createDataFrame([], "k string, v double"), ["k"], F.col("v"), {"m": .5})
+    assert empty.columns == ["k", "n", "m"] and empty.count() == 0
+
+
+def test_exact_quantiles_read_their_source_once(spark, tmp_path):
+    path = str(tmp_path / "v")
+    spark.range(20000).selectExpr("id % 3 AS k", "sqrt(id) AS v").write.parquet(path)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = spark.read.parquet(path).mapInArrow(seen, "k long, v double")
+    assert exact_quantiles(df, ["k"], F.col("v"), {"m": 0.5, "p": 0.9}).count() == 3
+    assert read.value == 20000
 
 
 def test_union_length_and_difference(spark):
