@@ -31,7 +31,8 @@ PROJECTIONS = 64
 HALF_WIDTH = 1.0  # of a window at radius 1: a vector at the radius collides on 68 % of the lines
 THRESHOLD = 38    # collisions that call for verification: 1.5 deviations under the 43.7 expected at the radius
 FIRST_RADIUS, FIRST_SHARE, GROWTH = 0.3, 0.8, 1.15
-BLOCK_ROWS, CHUNK_QUERIES, SAMPLE_ROWS = 16_384, 256, 4_096
+BLOCK_ROWS, CHUNK_QUERIES, SAMPLE_ROWS = 16_384, 4_096, 4_096
+HELD_QUERIES = 256  # whose counts a task holds at once
 
 
 def lines(dim: int) -> np.ndarray:
@@ -51,6 +52,11 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
 
 
+def numbers_of(n: int) -> type:
+    """Holds a row number of a block; copies of a row share its block, so that a block may outgrow BLOCK_ROWS."""
+    return np.uint16 if n <= 2**16 else np.uint32
+
+
 def packed(rows: DataFrame, keys: list[str], project: bool) -> DataFrame:
     """One row per key: ids and vectors of a bounded group as bytes; with ``project`` its sorted lines too."""
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -60,7 +66,7 @@ def packed(rows: DataFrame, keys: list[str], project: bool) -> DataFrame:
         if project:
             value = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ lines(v.shape[1])
             order = np.argsort(value, axis=0, kind="stable")
-            out["orders"] = np.ascontiguousarray(order.T.astype(np.int64)).tobytes()
+            out["orders"] = np.ascontiguousarray(order.T.astype(numbers_of(len(v)))).tobytes()
             out["values"] = np.ascontiguousarray(np.take_along_axis(value, order, 0).T.astype(np.float32)).tobytes()
         return pd.DataFrame([out])
 
@@ -75,28 +81,37 @@ def cosines(vectors: np.ndarray, norms: np.ndarray, query: np.ndarray) -> np.nda
 
 def search(ids, vectors, orders, values, q_ids, queries, known, k) -> list[tuple[int, int, float]]:
     """The k best found of this block for every query, as (query, id, cosine). ``known``: a distance within
-    which each query has k vectors somewhere; the first radius lies a little below it."""
+    which each query has k vectors somewhere; the first radius lies a little below it. A widening counts the
+    newly covered margins of the windows only, and verifies the vectors that reach the threshold by them."""
     norms = np.sqrt((vectors * vectors).sum(1))
     at = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ lines(queries.shape[1])
     radius = np.where(np.isfinite(known), np.maximum(FIRST_RADIUS, FIRST_SHARE * known), FIRST_RADIUS)
+    counts = np.zeros((len(queries), len(ids)), np.uint8)  # PROJECTIONS at most
+    best = [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+    low = high = np.stack([np.searchsorted(values[j], at[:, j]) for j in range(PROJECTIONS)], 1)
     active, out = np.arange(len(queries)), []
     while len(active):
         reach = HALF_WIDTH * radius[active]
-        low = np.stack([np.searchsorted(values[j], at[active, j] - reach) for j in range(PROJECTIONS)], 1)
-        high = np.stack([np.searchsorted(values[j], at[active, j] + reach, "right") for j in range(PROJECTIONS)], 1)
-        open_ = []
-        for q, a, b in zip(active.tolist(), low.tolist(), high.tolist()):
-            counts = np.bincount(np.concatenate([orders[j, a[j]: b[j]] for j in range(PROJECTIONS)]), minlength=len(ids))
-            close = counts >= THRESHOLD
-            some = np.flatnonzero(close & (ids != q_ids[q]))
-            score = cosines(vectors[some], norms[some], queries[q])
-            best = np.lexsort((ids[some], -score))[:k]
-            kth = min(known[q], np.sqrt(max(0.0, 2 - 2 * score[best[-1]])) if len(best) == k else np.inf)
+        below = np.stack([np.searchsorted(values[j], at[active, j] - reach) for j in range(PROJECTIONS)], 1)
+        above = np.stack([np.searchsorted(values[j], at[active, j] + reach, "right") for j in range(PROJECTIONS)], 1)
+        open_ = np.zeros(len(active), bool)
+        for i, (q, a, b, c, d) in enumerate(zip(active.tolist(), below.tolist(), low.tolist(), high.tolist(), above.tolist())):
+            margins = [orders[j, x: y] for j in range(PROJECTIONS) for x, y in ((a[j], b[j]), (c[j], d[j])) if x < y]
+            before = counts[q] < THRESHOLD
+            if margins:
+                counts[q] += np.bincount(np.concatenate(margins), minlength=len(ids)).astype(np.uint8)
+            close = counts[q] >= THRESHOLD
+            new = np.flatnonzero(before & close & (ids != q_ids[q]))
+            some = np.concatenate([best[q][0], new])
+            score = np.concatenate([best[q][1], cosines(vectors[new], norms[new], queries[q])])
+            first = np.lexsort((ids[some], -score))[:k]
+            best[q] = some[first], score[first]
+            kth = min(known[q], np.sqrt(max(0.0, 2 - 2 * score[first[-1]])) if len(first) == k else np.inf)
             if kth <= radius[q] or close.all():
-                out += zip([int(q_ids[q])] * len(best), ids[some][best].tolist(), score[best].tolist())
+                out += zip([int(q_ids[q])] * len(first), ids[best[q][0]].tolist(), best[q][1].tolist())
             else:
-                open_.append(q)
-        active = np.array(open_, np.int64)
+                open_[i] = True
+        active, low, high = active[open_], below[open_], above[open_]
         radius[active] *= GROWTH
     return out
 
@@ -126,7 +141,7 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id",
             for i in range(len(batch)):
                 c = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 v, q = (np.frombuffer(c[x]).reshape(-1, c["dim"]) for x in ("vectors", "q_vectors"))
-                orders = np.frombuffer(c["orders"], np.int64).reshape(PROJECTIONS, -1)
+                orders = np.frombuffer(c["orders"], numbers_of(len(v))).reshape(PROJECTIONS, -1)
                 values = np.frombuffer(c["values"], np.float32).reshape(PROJECTIONS, -1)
                 q_ids = np.frombuffer(c["q_ids"], np.int64)
                 known = np.full(len(q), np.inf)
@@ -134,7 +149,9 @@ def nearest(vectors: DataFrame, every: int, k: int = 5, id_col: str = "vec_id",
                 if some is not None and len(some) > 2 * k:
                     cos = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (some / np.linalg.norm(some, axis=1, keepdims=True)).T
                     known = np.sqrt(np.maximum(0, 2 - 2 * -np.sort(-cos, axis=1)[:, k]))  # one of the sample may be the query
-                found = search(np.frombuffer(c["ids"], np.int64), v, orders, values, q_ids, q, known, k)
+                ids = np.frombuffer(c["ids"], np.int64)
+                found = [x for s in range(0, len(q), HELD_QUERIES) for x in search(
+                    ids, v, orders, values, *(y[s: s + HELD_QUERIES] for y in (q_ids, q, known)), k)]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*found)] if found else
                                                  [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())],
                                                  ["query_id", "vec_id", "score"])
