@@ -4,12 +4,13 @@ Both models count all words and all bigrams of the corpus, each word by its 64-b
 counts every document, the target those of ``target``. Each model comes in two folds, a document being
 scored by the fold that has not counted it, so that no text is praised for its own memory. A token's
 probability after its predecessor is smoothed with the model's unigrams, and these with one count for
-each of ``WORDS`` possible words, a constant that limits nothing; a document's score is the mean over its
+each of ``WORDS`` possible words, a constant; a document's score is the mean over its
 tokens of target loss less background loss, in nats: the lower, the closer to the target.
 
 A token's loss is the logarithm of its context's count less one that depends on word and bigram, so
 losses are summed where the counts are: a task sends each of its bigrams with the documents that have it
-to the part of the bigram, which counts, and answers with a sum per document. Bigrams of a word outside
+to the part of the bigram, which counts, and answers each block of documents that a task sent with one row
+of sums per document, at most one for each distinct bigram sent; the block adds them up. Bigrams of a word outside
 the ``FREQUENT`` most frequent meet at the word, which gives its count as well; counts of frequent words,
 and of bigrams between the ``HOT`` most frequent ones, which many documents have, are broadcast. These two
 sizes only decide where a count is taken, the result is the same. The number of parts grows with the tokens.
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .shared import mix64, parted, written
 from .words import NOT_SPACE, slices
 
-KNOWN = None  # words with counts of their own: all
 WORDS = 1 << 20  # possible words, for smoothing
+KNOWN = None  # words with counts of their own: all
 BEGIN = -1  # the context of a first token
 SMOOTHING = 16.0
 FREQUENT, HOT = 1 << 16, 1 << 10
@@ -175,7 +176,7 @@ def unpacked(data: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-FREQUENT_WORD, RARE_WORD, RARE_CONTEXT, DOCUMENTS = range(4)
+FREQUENT_WORD, RARE_WORD, RARE_CONTEXT, DOCUMENTS, ANSWER = range(5)
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
@@ -210,7 +211,7 @@ def combined(row: np.ndarray, loss: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row, np.stack([np.bincount(at, x, len(row)) for x in loss])
 
 
-def answers(kind: int, blocks: list[tuple[int, bytes]], prior: np.ndarray, tokens: np.ndarray, part: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def answers(kind: int, blocks: list[tuple[int, bytes]], prior: np.ndarray, tokens: np.ndarray, vocabulary: int, part: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, loss[model, row]) for the blocks (first row, data) of a part, a piece of its hashes after the other."""
     read = [(first, *unpacked(data, np.uint64, np.uint64, np.uint16, np.uint32, np.uint32, np.uint32)) for first, data in blocks]
     read = [(first, np.cumsum(group), *others) for first, group, *others in read]
@@ -222,10 +223,10 @@ def answers(kind: int, blocks: list[tuple[int, bytes]], prior: np.ndarray, token
             own, of = slice(edge[i], edge[i + 1]), slice(item[edge[i]], item[edge[i + 1]])
             some.append((np.full(of.stop - of.start, first), group[own], key[own], more[own], has[own], code[of], times[of]))
         if sum(len(x[1]) for x in some):
-            yield combined(*answer(kind, *map(np.concatenate, zip(*some)), prior, tokens))
+            yield combined(*answer(kind, *map(np.concatenate, zip(*some)), prior, tokens, vocabulary))
 
 
-def answer(kind: int, first, group, key, more, has, code, times, prior: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def answer(kind: int, first, group, key, more, has, code, times, prior: np.ndarray, tokens: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     row = first + (code & np.uint32((1 << 30) - 1))
     dealt, of = (code >> np.uint32(30)).astype(np.int64), np.repeat(np.arange(len(has)), has)
     distinct, group = np.unique(group, return_inverse=True)
@@ -246,7 +247,7 @@ def answer(kind: int, first, group, key, more, has, code, times, prior: np.ndarr
         at = np.empty(len(key), np.int64)
         at[order] = np.cumsum(new) - 1
         word = group[order][new]
-        value = -np.log(counts(at, len(word)) + SMOOTHING * ((whole + 1) / (tokens[:, :, None] + WORDS))[:, :, word])
+        value = -np.log(counts(at, len(word)) + SMOOTHING * ((whole + 1) / (tokens[:, :, None] + vocabulary))[:, :, word])
     return row, value[:, 1 - (dealt >> 1), at[of]] * times
 
 
@@ -258,7 +259,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     context = docs.sparkSession.sparkContext
     docs = flagged(docs, target)
     words = written(word_counts(docs))
-    tokens = by_model(np.array([x or 0 for x in words.agg(*(F.sum(k) for k in KINDS)).first()]))
+    vocabulary, found = WORDS, words.agg(*(F.sum(k) for k in KINDS)).first()
+    tokens = by_model(np.array([x or 0 for x in found]))
     parts = max(8, int(-(-tokens[1].sum() // PART_TOKENS)))
     top = words.orderBy((F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")).desc(), "word").limit(FREQUENT).toArrow()
     found = top["word"].to_numpy().view(np.uint64)
@@ -269,7 +271,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     place[n] = HOT
     known, hot = context.broadcast(found[order]), context.broadcast(place)
     counts = np.stack([top[k].to_numpy() for k in KINDS], -1)
-    one = (by_model(counts) + 1) / (tokens[:, :, None] + WORDS)  # the most frequent first
+    one = (by_model(counts) + 1) / (tokens[:, :, None] + max(1, vocabulary))  # the most frequent first
     contexts, bigrams = broadcast_counts(docs, known, hot)
     word = np.minimum(np.arange(len(bigrams)) % HOT, max(0, n - 1))
     pair = -np.log(by_model(bigrams) + SMOOTHING * one[:, :, word]) if n else np.zeros((2, 2, len(bigrams)))
@@ -318,29 +320,35 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
             yield passed()
 
     def answered(own: pd.DataFrame) -> pd.DataFrame:
-        rows, losses, out = [], [], []
-        for kind, some in own.groupby("kind"):
-            blocks = list(zip(some["first"].tolist(), some["data"].tolist()))
-            if kind != DOCUMENTS:
-                for row, loss in answers(kind, blocks, prior.value, tokens, own["part"].iloc[0], parts):
-                    rows.append(row)
-                    losses.append(loss)
-                continue
-            for first, data in blocks:
-                ids, valid, counts, *loss = unpacked(data, np.int64, bool, np.int64, np.float64, np.float64)
-                out.append(pd.DataFrame({"row": first + np.arange(len(ids)), "doc_id": pd.array(ids, "Int64"), "n_tokens": pd.array(counts, "Int64"),
-                                         "t": loss[0], "b": loss[1]}))
-                out[-1].loc[~valid, "doc_id"] = pd.NA
-        if rows:
-            row, (t, b) = combined(np.concatenate(rows), np.concatenate(losses, 1))
-            empty = pd.array(np.zeros(len(row), np.int64), "Int64")
-            empty[:] = pd.NA
-            out.append(pd.DataFrame({"row": row, "doc_id": empty, "n_tokens": empty, "t": t, "b": b}))
-        return pd.concat(out)
+        part, firsts = int(own["part"].iloc[0]), np.sort(own["first"].unique())
+        rows, losses = [], []
+        for kind, some in own.loc[own["kind"] != DOCUMENTS].groupby("kind"):
+            for row, loss in answers(kind, list(zip(some["first"].tolist(), some["data"].tolist())), prior.value, tokens, vocabulary, part, parts):
+                rows.append(row)
+                losses.append(loss)
+        out = own.loc[own["kind"] == DOCUMENTS, ["first", "part", "kind", "data"]]
+        if not rows:
+            return out
+        row, loss = combined(np.concatenate(rows), np.concatenate(losses, 1))
+        edges = np.append(np.searchsorted(row, firsts), len(row))
+        told = [(first, part, ANSWER, packed(np.diff(row[i:j] - first, prepend=0).astype(np.uint32), *loss[:, i:j]))
+                for first, i, j in zip(firsts.tolist(), edges, edges[1:]) if i < j]
+        return pd.concat([out, pd.DataFrame(told, columns=out.columns)])
+
+    def whole(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["kind", "part"])  # always the same sum
+        ids, valid, counts, *loss = unpacked(own.loc[own["kind"] == DOCUMENTS, "data"].iloc[0], np.int64, bool, np.int64, np.float64, np.float64)
+        for data in own.loc[own["kind"] == ANSWER, "data"]:
+            row, *more = unpacked(data, np.uint32, np.float64, np.float64)
+            for total, x in zip(loss, more):
+                total[np.cumsum(row, dtype=np.int64)] += x
+        out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_tokens": counts, "t": loss[0], "b": loss[1]})
+        out.loc[~valid, "doc_id"] = pd.NA
+        return out
 
     sums = docs.mapInArrow(sent, "part int, kind int, first long, data binary").groupBy("part").applyInPandas(
-        answered, "row long, doc_id long, n_tokens long, t double, b double").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+        answered, "first long, part int, kind int, data binary").groupBy("first").applyInPandas(
+        whole, "doc_id long, n_tokens long, t double, b double")
     mean = {c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")) for c in "tb"}
     return sums.select("doc_id", "n_tokens", mean["t"].alias("target_loss"), mean["b"].alias("background_loss"),
                        (mean["t"] - mean["b"]).alias("score"))
