@@ -4,7 +4,7 @@ Both models count all words and all bigrams of the corpus, each word by its 64-b
 counts every document, the target those of ``target``. Each model comes in two folds, a document being
 scored by the fold that has not counted it, so that no text is praised for its own memory. A token's
 probability after its predecessor is smoothed with the model's unigrams, and these with one count for
-each of ``WORDS`` possible words, a constant; a document's score is the mean over its
+each distinct word of the corpus, so that they sum to one; a document's score is the mean over its
 tokens of target loss less background loss, in nats: the lower, the closer to the target.
 
 A token's loss is the logarithm of its context's count less one that depends on word and bigram, so
@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from .shared import mix64, parted, written
 from .words import NOT_SPACE, slices
 
-WORDS = 1 << 20  # possible words, for smoothing
 KNOWN = None  # words with counts of their own: all
 BEGIN = -1  # the context of a first token
 SMOOTHING = 16.0
@@ -259,7 +258,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     context = docs.sparkSession.sparkContext
     docs = flagged(docs, target)
     words = written(word_counts(docs))
-    vocabulary, found = WORDS, words.agg(*(F.sum(k) for k in KINDS)).first()
+    vocabulary, *found = words.agg(F.count("*"), *(F.sum(k) for k in KINDS)).first()
     tokens = by_model(np.array([x or 0 for x in found]))
     parts = max(8, int(-(-tokens[1].sum() // PART_TOKENS)))
     top = words.orderBy((F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")).desc(), "word").limit(FREQUENT).toArrow()

@@ -294,7 +294,7 @@ def test_lm_scores(spark, docs, none):
     words = {i: hash_words(t) for i, t in rows}
     counts = collections.Counter(int(h) for w in words.values() for h in w)
     known = np.sort(np.array(sorted(counts, key=lambda h: (-counts[h], np.uint64(h).astype(np.int64)))[:lm_scores.KNOWN], np.uint64))
-    chosen, n, b = {r.doc_id for r in target.collect()}, lm_scores.WORDS, lm_scores.BEGIN
+    chosen, n, b = {r.doc_id for r in target.collect()}, len(counts), lm_scores.BEGIN
     pairs = {}
     for i, w in words.items():
         v = lm_scores.numbered(w, known).tolist()
@@ -327,7 +327,8 @@ def test_lm_scores_count_every_word(spark, monkeypatch, sizes):
     chosen = set(range(0, 400, 3))
     got = {r.doc_id: r for r in lm_scores.cross_entropy_difference(
         spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(i,) for i in chosen], "doc_id long")).collect()}
-    assert len(got) == 400 and len({x for w in words.values() for x in w}) > 2000
+    n = len({x for w in words.values() for x in w})
+    assert len(got) == 400 and n > 2000
     fold = {i: int(lm_scores.fold_of(pa.array([i]))[0]) for i in words}
     for mine, loss in ((chosen, "target_loss"), (set(words), "background_loss")):
         for f in (0, 1):
@@ -335,7 +336,7 @@ def test_lm_scores_count_every_word(spark, monkeypatch, sizes):
             pair, before, one = collections.Counter(own), collections.Counter(u for u, _ in own), collections.Counter(w for _, w in own)
             for i, w in words.items():
                 if fold[i] == f:
-                    p = [(pair[u, v] + lm_scores.SMOOTHING * (one[v] + 1) / (len(own) + lm_scores.WORDS)) / (before[u] + lm_scores.SMOOTHING)
+                    p = [(pair[u, v] + lm_scores.SMOOTHING * (one[v] + 1) / (len(own) + n)) / (before[u] + lm_scores.SMOOTHING)
                          for u, v in zip(["", *w], w)]
                     assert got[i].n_tokens == 40 and abs(got[i][loss] + np.log(p).mean()) < 1e-5
 
