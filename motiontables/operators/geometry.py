@@ -9,44 +9,60 @@ from pyspark.sql import functions as F
 
 from ..functions.camera import project
 from ..functions.rotation import matrix_to_quat, quat_mul, quat_to_matrix
-from ..functions.vectors import add, let, mat_mul, mat_vec, norm, scaled, sub, transpose, vec
+from ..functions.vectors import add, let, mat_mul, mat_vec, norm, scaled, sub, total, transpose, vec
 from ..rules import JOINT_PARENTS
 from .blocks import FRAME_BLOCK, Scan, block_scan
 
 
-def _levels(parents: Sequence[int]) -> list[list[int]]:
-    """Joints grouped by depth; parents always precede children."""
-    depth = []
-    for p in parents:
-        depth.append(0 if p < 0 else depth[p] + 1)
-    return [[j for j, d in enumerate(depth) if d == level] for level in range(max(depth) + 1)]
+def _chains(parents: Sequence[int]) -> list[list[int]]:
+    """Joints from the root down to each joint; parents precede children."""
+    chains: list[list[int]] = []
+    for j, p in enumerate(parents):
+        chains.append([j] if p < 0 else [*chains[p], j])
+    return chains
 
 
-def world_rotations(local: Column, parents: Sequence[int] = JOINT_PARENTS) -> Column:
-    """Compose local joint quaternions down the tree, one bound array per tree level."""
-    levels = _levels(parents)
+def forward_kinematics(df: DataFrame, local: str, offsets: str | None = None,
+                       parents: Sequence[int] = JOINT_PARENTS) -> DataFrame:
+    """One row per joint: ``joint``, its ``world`` quaternion and, given offsets, its ``position``.
 
-    def grow(done: dict[int, Column], level: int):
-        if level == len(levels):
-            return F.array(*[done[j] for j in range(len(parents))])
-        row = F.array(*[quat_mul(done[parents[j]], local.getItem(j)) for j in levels[level]])
-        return let(row, lambda v: grow({**done, **{j: v.getItem(i) for i, j in enumerate(levels[level])}}, level + 1))
-
-    return grow({j: local.getItem(j) for j in levels[0]}, 1)
-
-
-def joint_positions(world: Column, offsets: Column, parents: Sequence[int] = JOINT_PARENTS) -> Column:
-    """Joint positions from world rotations and offsets in the parent's frame; the root is its offset."""
-    levels = _levels(parents)
-
-    def grow(done: dict[int, Column], level: int):
-        if level == len(levels):
-            return F.array(*[done[j] for j in range(len(parents))])
-        row = F.array(*[add(done[parents[j]], mat_vec(quat_to_matrix(world.getItem(parents[j])), offsets.getItem(j)))
-                        for j in levels[level]])
-        return let(row, lambda v: grow({**done, **{j: v.getItem(i) for i, j in enumerate(levels[level])}}, level + 1))
-
-    return grow({j: offsets.getItem(j) for j in levels[0]}, 1)
+    ``local`` holds a quaternion per joint relative to its parent, ``offsets`` its place in the parent's frame; both
+    columns go, the others stay. Each row walks from the root down to its joint, so a tree of any width costs one
+    small piece of generated code per level, and no row meets another. A joint without four finite numbers leaves itself
+    and all below it null.
+    """
+    chains = _chains(parents)
+    depth = max(map(len, chains))
+    links = F.array(*[F.struct(F.lit(j).alias("joint"), *[F.lit(c[k] if k < len(c) else -1).alias(f"__c{k}") for k in range(depth)])
+                      for j, c in enumerate(chains)])
+    kept = [c for c in df.columns if c not in (local, offsets)]
+    rows = df.select(*kept, F.col(local).alias("__local"), F.col(offsets or local).alias("__offsets"), F.inline(links))
+
+    def taken(prefix: str, source: str, n: int, level: int) -> dict[str, Column]:
+        item = F.get(source, F.col(f"__c{level}"))
+        return {f"{prefix}{i}_{level}": F.coalesce(F.get(item, F.lit(i)), F.lit(float("nan"))) for i in range(n)}
+
+    def value(prefix: str, n: int, level: int) -> Column:
+        return F.array(*[f"{prefix}{i}_{level}" for i in range(n)])
+
+    # NaN stands for a missing number on the way: without null checks a level's code stays short enough to be compiled.
+    rows = rows.withColumns(taken("__w", "__local", 4, 0) | (taken("__p", "__offsets", 3, 0) if offsets else {}))
+    for level in range(1, depth):
+        rows = rows.withColumns(taken("__q", "__local", 4, level) | (taken("__o", "__offsets", 3, level) if offsets else {}))
+        above = value("__w", 4, level - 1)
+        results = [("__w", 4, quat_mul(above, value("__q", 4, level)))]
+        if offsets:
+            results.append(("__p", 3, add(value("__p", 3, level - 1), mat_vec(quat_to_matrix(above), value("__o", 3, level)))))
+        rows = rows.withColumns({
+            f"{prefix}{i}_{level}": F.when(F.col(f"__c{level}") < 0, F.col(f"{prefix}{i}_{level - 1}")).otherwise(v.getItem(i))
+            for prefix, n, v in results for i in range(n)})
+
+    def known(prefix: str, n: int) -> Column:
+        v = [F.col(f"{prefix}{i}_{depth - 1}") for i in range(n)]
+        return F.when(F.abs(total(v)) < float("inf"), F.array(*v))  # NaN is above infinity
+
+    found = [known("__w", 4).alias("world")] + ([known("__p", 3).alias("position")] if offsets else [])
+    return rows.select(*kept, "joint", *found)
 
 
 def bone_lengths(joints: DataFrame, keys: Sequence[str], tree: DataFrame) -> DataFrame:

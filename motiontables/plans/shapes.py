@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import camera, rotation
 from ..functions.vectors import let
 from ..operators import candidates, geometry, motion, views
+from ..rules import JOINT_PARENTS
 from ..sources.warehouse import observations, table
 from .base import OBS, Catalog
 
@@ -278,12 +279,12 @@ SELECT clip_id, det_idx, joint, round(sin(angle * share / 2), 8) + 0.0 AS qz, ro
 """)
 def kinematics_chain(spark, base) -> DataFrame:
     """Sixteen local turns about one axis; angles add along the chain."""
-    half = F.acos(F.least(F.col("quat").getItem(3), F.lit(1.0)))
-    local = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.array(
-        F.lit(0.0), F.lit(0.0), F.sin(half * (j + 1) / 32.0), F.cos(half * (j + 1) / 32.0)))
-    o = observations(spark, base).select("clip_id", "det_idx", let(local, geometry.world_rotations).alias("w"))
-    return o.select("clip_id", "det_idx", F.posexplode("w").alias("joint", "q")).select(
-        "clip_id", "det_idx", "joint", (F.round(F.col("q").getItem(2), 8) + 0.0).alias("qz"), (F.round(F.col("q").getItem(3), 8) + 0.0).alias("qw"))
+    o = observations(spark, base).select("clip_id", "det_idx", F.acos(F.least(F.col("quat").getItem(3), F.lit(1.0))).alias("half"))
+    local = F.array(*[F.array(F.lit(0.0), F.lit(0.0), F.sin(F.col("half") * (j + 1) / 32.0), F.cos(F.col("half") * (j + 1) / 32.0))
+                      for j in range(len(JOINT_PARENTS))])
+    o = geometry.forward_kinematics(o.select("clip_id", "det_idx", local.alias("local")), "local")
+    return o.select("clip_id", "det_idx", "joint", (F.round(F.col("world").getItem(2), 8) + 0.0).alias("qz"),
+                    (F.round(F.col("world").getItem(3), 8) + 0.0).alias("qw"))
 
 
 @catalog.add("bone_length_deviation", f"""

@@ -198,9 +198,13 @@ def test_kinematics_and_positions(spark):
         world.append(matrix(*q[j]) if p < 0 else world[p] @ matrix(*q[j]))
         pos.append(off[j] if p < 0 else pos[p] + world[p] @ off[j])
     df = spark.createDataFrame([(q.tolist(), off.tolist())], "q array<array<double>>, o array<array<double>>")
-    r = df.select(geometry.world_rotations(F.col("q")).alias("w"), "o").select(
-        geometry.joint_positions(F.col("w"), F.col("o")).alias("p"), F.transform("w", rotation.quat_to_matrix).alias("m")).collect()[0]
-    assert np.allclose(r.p, pos) and np.allclose(np.array(r.m).reshape(16, 3, 3), world)
+    found = geometry.forward_kinematics(df.withColumn("k", F.lit(7)), "q", "o").withColumn("m", rotation.quat_to_matrix(F.col("world"))).orderBy("joint").collect()
+    assert [(r.k, r.joint) for r in found] == [(7, j) for j in range(16)]
+    assert np.allclose([r.position for r in found], pos) and np.allclose(np.array([r.m for r in found]).reshape(16, 3, 3), world)
+    holed = df.withColumn("q", F.transform("q", lambda v, i: F.when(i != 1, v)))
+    below = {r.joint for r in geometry.forward_kinematics(holed, "q").collect() if r.world is None}
+    assert below == {j for j, c in enumerate(geometry._chains(geometry.JOINT_PARENTS)) if 1 in c}
+    assert [r.world for r in geometry.forward_kinematics(df.withColumn("q", F.lit(None).cast("array<array<double>>")), "q").collect()] == [None] * 16
 
 
 def test_mask_fixtures(spark):
