@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,44 +118,91 @@ def edge_associations(segments: DataFrame, quads: DataFrame, keys: Sequence[str]
          .withColumn("high", F.least(F.greatest(along(F.col("a")), along(F.col("b"))), F.col("edge_length"))))
     return r.filter((F.col("angle") <= max_angle) & (F.greatest("da", "db") <= max_distance) & (F.col("high") > F.col("low"))) \
         .select(*keys, "edge", "edge_length", "line_id", "a", "b", "length", "angle",
-                ((F.col("da") + F.col("db")) / 2).alias("distance"), "low", "high")
+                ((F.col("da") + F.col("db")) / 2).alias("distance"), "low", "high",
+                F.col("p").alias("origin"), "ux", "uy")
 
 
-def collinear_clusters(associations: DataFrame, keys: Sequence[str], max_angle: float = 5.0, max_offset: float = 2.5,
-                       min_coverage: float = 0.15, distance_unit: float = 12.0) -> DataFrame:
-    """Per edge the seed whose collinear members cover most of it, with its score.
+STRIPS = 16
 
-    A seed meets the segments of its own edge only (an image yields a handful per edge).
+
+def collinear_members(associations: DataFrame, keys: Sequence[str], max_angle: float = 5.0, max_offset: float = 2.5,
+                      edge_angle: float = 5.0) -> DataFrame:
+    """(keys, edge, seed, line_id, low, high, distance, edge_length): the segments collinear with each seed of an edge.
+
+    Segments meet through cells, not through the edge: the edge is cut into strips and each strip into bins of the
+    offset from the seed. A collinear segment passes within ``max_offset`` of the seed's line at every place of its own
+    extent, so it shows itself in the one bin of its middle, and a seed in the bins that its line crosses, widened by
+    that much. Both lie within ``edge_angle`` of the edge, which bounds the bins of a strip. Equal segments are one class
+    until the end, so copies of a segment never meet each other. ``line_id`` is unique on an edge.
     """
     k = [*keys, "edge"]
-    seed = associations.select(*k, F.col("line_id").alias("seed"), F.col("a").alias("sa"), F.col("b").alias("sb"),
-                               F.col("length").alias("sl"))
-    j = seed.join(associations, k)
+    shape = ["a", "b", "low", "high", "edge_length"]
+    classes = associations.groupBy(*k, *shape).agg(
+        F.min("line_id").alias("leader"), F.avg("distance").alias("distance"), F.first("length").alias("length"),
+        F.first("origin").alias("p"), F.first("ux").alias("ux"), F.first("uy").alias("uy"))
+
+    def beside(point):
+        return (F.col(point).getItem(1) - F.col("p").getItem(1)) * F.col("ux") - (F.col(point).getItem(0) - F.col("p").getItem(0)) * F.col("uy")
+
+    def along(point):
+        return (F.col(point).getItem(0) - F.col("p").getItem(0)) * F.col("ux") + (F.col(point).getItem(1) - F.col("p").getItem(1)) * F.col("uy")
+
+    # The line of a segment over the edge: offset = base + slope * place. Nothing is upright, as the angle is bounded.
+    rows = (classes.withColumn("slope", (beside("b") - beside("a")) / (along("b") - along("a")))
+            .withColumn("base", beside("a") - F.col("slope") * along("a"))
+            .withColumn("wide", F.greatest(F.col("edge_length") / STRIPS, F.lit(1.0))))
+    reach = max_offset / math.cos(math.radians(edge_angle)) * (1 + 1e-9) + 1e-9
+    bin_height = 2 * reach
+
+    def bin_of(offset: Column) -> Column:
+        return F.floor(offset / bin_height).cast("long")
+
+    middle = (F.col("low") + F.col("high")) / 2
+    members = rows.withColumn("strip", F.floor(middle / F.col("wide")).cast("long")).withColumn(
+        "cell", bin_of(F.col("base") + F.col("slope") * middle))
+    strips = F.sequence(F.lit(0), F.floor(F.col("edge_length") / F.col("wide")).cast("long"))
+    left = F.col("base") + F.col("slope") * F.col("strip") * F.col("wide")
+    right = left + F.col("slope") * F.col("wide")
+    seeds = rows.select(*k, F.col("leader").alias("seed"), F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("length").alias("sl"),
+                        "base", "slope", "wide", F.explode(strips).alias("strip"))
+    seeds = seeds.select(*k, "seed", "sa", "sb", "sl", "strip", F.explode(F.sequence(
+        bin_of(F.least(left, right) - reach), bin_of(F.greatest(left, right) + reach))).alias("cell"))
     ux = (F.col("sb").getItem(0) - F.col("sa").getItem(0)) / F.col("sl")
     uy = (F.col("sb").getItem(1) - F.col("sa").getItem(1)) / F.col("sl")
-    j = j.withColumn("ux", ux).withColumn("uy", uy)
+    met = seeds.join(members.drop("ux", "uy", "p"), [*k, "strip", "cell"]).withColumn("ux", ux).withColumn("uy", uy)
 
     def off(point):
         return F.abs((point.getItem(1) - F.col("sa").getItem(1)) * F.col("ux") - (point.getItem(0) - F.col("sa").getItem(0)) * F.col("uy"))
 
     cosine = F.abs((F.col("b").getItem(0) - F.col("a").getItem(0)) * F.col("ux")
                    + (F.col("b").getItem(1) - F.col("a").getItem(1)) * F.col("uy")) / F.col("length")
-    members = j.filter((F.degrees(F.acos(F.least(cosine, F.lit(1.0)))) <= max_angle)
-                       & (F.greatest(off(F.col("a")), off(F.col("b"))) <= max_offset))
-    covered = union_length(members.select(*k, "seed", "low", "high"), [*k, "seed"], "low", "high", 4096)
+    same = met.filter((F.degrees(F.acos(F.least(cosine, F.lit(1.0)))) <= max_angle)
+                      & (F.greatest(off(F.col("a")), off(F.col("b"))) <= max_offset))
+    return same.select(*k, "seed", *shape).join(
+        associations.select(*k, *shape, "line_id", "length", "distance"), [*k, *shape])
+
+
+def collinear_clusters(members: DataFrame, keys: Sequence[str], min_coverage: float = 0.15,
+                       distance_unit: float = 12.0) -> DataFrame:
+    """Per edge the seed whose collinear members cover most of it: (keys, edge, seed, covered, score, members).
+
+    The score falls with the mean distance from the edge. Seeds of one cluster score alike but for the order of sums,
+    so scores count as equal to nine places and the smallest seed id decides.
+    """
+    k = [*keys, "edge"]
+    covered = union_length(members, [*k, "seed"], "low", "high", 4096)
     stats = members.groupBy(*k, "seed").agg(F.avg("distance").alias("mean_distance"), F.max("edge_length").alias("edge_length"),
-                                            F.sort_array(F.collect_set("line_id")).alias("members"))
+                                            F.count(F.lit(1)).alias("members"))
     scored = covered.join(stats, [*k, "seed"]).withColumn("score", F.col("covered") / (1 + F.col("mean_distance") / distance_unit))
     good = scored.filter(F.col("covered") / F.col("edge_length") >= min_coverage)
-    best = F.min_by(F.struct("seed", "covered", "score", "members"), F.struct((-F.col("score")).alias("s"), "seed"))
-    return good.groupBy(*k).agg(best.alias("__b")).select(*k, "__b.*")
+    order = F.struct((-F.round("score", 9)).alias("s"), "seed")
+    return good.groupBy(*k).agg(F.min_by(F.struct("seed", "covered", "score", "members"), order).alias("__b")).select(*k, "__b.*")
 
 
-def selected_segments(associations: DataFrame, clusters: DataFrame, keys: Sequence[str]) -> DataFrame:
+def selected_segments(members: DataFrame, clusters: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Member segments of the chosen clusters, weighted by length over covered length."""
     k = [*keys, "edge"]
-    c = clusters.select(*k, "covered", F.explode("members").alias("line_id"))
-    return associations.join(c, [*k, "line_id"]).select(
+    return members.join(clusters.select(*k, "seed", "covered"), [*k, "seed"]).select(
         *k, "line_id", "a", "b", (F.col("length") / F.col("covered")).alias("weight"))
 
 

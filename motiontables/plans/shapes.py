@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import camera, rotation
 from ..functions.vectors import let
 from ..operators import candidates, geometry, motion, views
+from ..operators.lineage_cut import cut
 from ..rules import JOINT_PARENTS
 from ..sources.warehouse import observations, table
 from .base import OBS, Catalog
@@ -271,6 +272,89 @@ def retained_mass(spark, base) -> DataFrame:
     return m.select("side", *[F.round(c, 9).alias(c) for c in ("kept_min", "kept_mean", "dropped_max")])
 
 
+EDGES = """
+WITH seg AS (
+  SELECT l_partkey AS k, (l_orderkey * 8 + l_linenumber) * 1000000 + l_suppkey AS line_id, l_linenumber % 4 AS edge,
+         CASE WHEN l_linenumber % 2 = 0 THEN 300.0 + p_size ELSE 200.0 + p_size END AS edge_length,
+         l_suppkey % 10 / 12.0 AS s, CAST(l_quantity AS DOUBLE) / 60 AS f, CAST(l_discount AS DOUBLE) * 131 AS oa,
+         CAST(l_discount AS DOUBLE) * 131 + (round(CAST(l_tax AS DOUBLE) * 100) - 4) * 1.73 AS ob
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+pts AS (SELECT *, edge_length * s - 10 AS xa, edge_length * (s + f) - 10 AS xb FROM seg),
+ang AS (SELECT *, sqrt((xb - xa) * (xb - xa) + (ob - oa) * (ob - oa)) AS len FROM pts),
+assoc AS (
+  SELECT k, line_id, edge, edge_length, len, xa, xb, oa, ob, degrees(acos(least((xb - xa) / len, 1.0))) AS angle,
+         (abs(oa) + abs(ob)) / 2 AS distance, greatest(xa, 0.0) AS low, least(xb, edge_length) AS high
+  FROM ang WHERE degrees(acos(least((xb - xa) / len, 1.0))) <= 5 AND greatest(abs(oa), abs(ob)) <= 12
+    AND least(xb, edge_length) > greatest(xa, 0.0))"""
+
+CLUSTERS = EDGES + """,
+mem AS (
+  SELECT s.k, s.edge, s.line_id AS seed, m.line_id, m.low, m.high, m.distance, m.edge_length, m.len
+  FROM assoc s JOIN assoc m USING (k, edge)
+  WHERE degrees(acos(least(abs((m.xb - m.xa) * (s.xb - s.xa) + (m.ob - m.oa) * (s.ob - s.oa)) / m.len / s.len, 1.0))) <= 5
+    AND greatest(abs((m.oa - s.oa) * (s.xb - s.xa) - (m.xa - s.xa) * (s.ob - s.oa)),
+                 abs((m.ob - s.oa) * (s.xb - s.xa) - (m.xb - s.xa) * (s.ob - s.oa))) / s.len <= 2.5),
+cov AS (
+  SELECT k, edge, seed, line_id, low, high, distance, edge_length, high - greatest(low, coalesce(max(high) OVER (
+    PARTITION BY k, edge, seed ORDER BY low, high, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), low)) AS beyond FROM mem),
+sco AS (
+  SELECT k, edge, seed, sum(greatest(beyond, 0)) AS covered, count(*) AS members, max(edge_length) AS edge_length,
+         sum(greatest(beyond, 0)) / (1 + avg(distance) / 12) AS score FROM cov GROUP BY 1, 2, 3),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, edge ORDER BY round(score, 9) DESC, seed) AS r FROM sco
+                 WHERE covered / edge_length >= 0.15) WHERE r = 1)"""
+
+
+def _edge_associations(spark, base) -> DataFrame:
+    """Each part is a quad, its order lines are segments along one of its edges, more or less aslant."""
+    size = F.col("p_size").cast("double")
+    w, h = size + 300, size + 200
+    zero = F.lit(0.0)
+    quads = table(spark, base, "part").select(F.col("p_partkey").alias("k"), F.array(
+        F.array(zero, zero), F.array(w, zero), F.array(w, h), F.array(zero, h)).alias("corners"))
+    li = table(spark, base, "lineitem").select(
+        F.col("l_partkey").alias("k"), ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.col("l_suppkey")).alias("line_id"), (F.col("l_linenumber") % 4).alias("e"),
+        (F.col("l_suppkey") % 10 / 12.0).alias("s"), (F.col("l_quantity").cast("double") / 60).alias("f"), (F.col("l_discount").cast("double") * 131).alias("oa"),
+        ((F.round(F.col("l_tax").cast("double") * 100) - 4) * 1.73).alias("turn")).join(quads, "k")
+    w, h = F.col("corners").getItem(2).getItem(0), F.col("corners").getItem(2).getItem(1)
+    length = F.when(F.col("e") % 2 == 0, w).otherwise(h)
+
+    def point(x, o):
+        return F.when(F.col("e") == 0, F.array(x, o)).when(F.col("e") == 1, F.array(w - o, x)).when(
+            F.col("e") == 2, F.array(w - x, h - o)).otherwise(F.array(o, h - x))
+
+    lines = li.select("k", "line_id", point(length * F.col("s") - 10, F.col("oa")).alias("a"),
+                      point(length * (F.col("s") + F.col("f")) - 10, F.col("oa") + F.col("turn")).alias("b"))
+    return candidates.edge_associations(lines, quads, ["k"])
+
+
+@catalog.add("edge_associations", EDGES + """
+SELECT k, line_id, CAST(edge AS INTEGER) AS edge, round(angle, 6) AS angle, round(distance, 6) AS distance, round(low, 6) AS low, round(high, 6) AS high FROM assoc
+""")
+def edge_associations(spark, base) -> DataFrame:
+    return _edge_associations(spark, base).select("k", "line_id", "edge", *[F.round(c, 6).alias(c) for c in ("angle", "distance", "low", "high")])
+
+
+@catalog.add("edge_clusters", CLUSTERS + """
+SELECT k, CAST(edge AS INTEGER) AS edge, seed, round(covered, 6) AS covered, round(score, 6) AS score, members FROM best
+""")
+def edge_clusters(spark, base) -> DataFrame:
+    """The collinear cluster of each edge that covers it best."""
+    near = cut(candidates.collinear_members(_edge_associations(spark, base), ["k"]))
+    best = candidates.collinear_clusters(near, ["k"])
+    return best.select("k", "edge", "seed", F.round("covered", 6).alias("covered"), F.round("score", 6).alias("score"), "members")
+
+
+@catalog.add("edge_segments", CLUSTERS + """
+SELECT k, CAST(edge AS INTEGER) AS edge, line_id, round(len / covered, 6) AS weight FROM mem JOIN best USING (k, edge, seed)
+""")
+def edge_segments(spark, base) -> DataFrame:
+    """The segments of the best clusters and their weights."""
+    near = cut(candidates.collinear_members(_edge_associations(spark, base), ["k"]))
+    picked = candidates.selected_segments(near, candidates.collinear_clusters(near, ["k"]), ["k"])
+    return picked.select("k", "edge", "line_id", F.round("weight", 6).alias("weight"))
+
+
 @catalog.add("kinematics_chain", f"""
 WITH {OBS}, t AS (SELECT * FROM (VALUES (0, -1), (1, 0), (2, 1), (3, 2), (4, 0), (5, 4), (6, 5), (7, 0), (8, 7), (9, 8), (10, 0), (11, 10), (12, 11), (13, 0), (14, 13), (15, 14)) v(joint, parent)),
 c AS (SELECT t.joint, (t.joint + 1) / 32.0 + coalesce((p.joint + 1) / 32.0, 0) + coalesce((g.joint + 1) / 32.0, 0) + coalesce((h.joint + 1) / 32.0, 0) AS share

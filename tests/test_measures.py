@@ -234,13 +234,46 @@ def test_edge_clusters(spark):
     s = spark.createDataFrame([("q", *x) for x in segs], "quad_id string, line_id int, a array<double>, b array<double>")
     assoc = candidates.edge_associations(s, quads, ["quad_id"])
     assert {(r.line_id, r.edge) for r in assoc.collect()} == {(0, 0), (1, 0), (2, 0), (4, 1)}
-    best = candidates.collinear_clusters(assoc, ["quad_id"]).collect()
-    by_edge = {r.edge: r for r in best}
-    assert by_edge[0].members == [0, 1] and by_edge[0].covered == pytest.approx(85.0) and by_edge[1].members == [4]
-    picked = candidates.selected_segments(assoc, candidates.collinear_clusters(assoc, ["quad_id"]), ["quad_id"]).collect()
+    near = candidates.collinear_members(assoc, ["quad_id"])
+    best = candidates.collinear_clusters(near, ["quad_id"])
+    by_edge = {r.edge: r for r in best.collect()}
+    assert by_edge[0].members == 2 and by_edge[0].seed == 0 and by_edge[0].covered == pytest.approx(85.0) and by_edge[1].seed == 4
+    picked = candidates.selected_segments(near, best, ["quad_id"]).collect()
     assert {r.line_id for r in picked} == {0, 1, 4} and {r.line_id: r.weight for r in picked}[0] == pytest.approx(40 / 85)
 
 
+def test_collinear_members_are_all_pairs_by_brute_force(spark):
+    rng = random.Random(4)
+    corners = [[10., 20.], [410., 50.], [400., 300.], [0., 280.]]
+    segs = []
+    for i in range(240):
+        (px, py), (qx, qy) = corners[i % 4], corners[(i % 4 + 1) % 4]
+        s, e, u, v = rng.random() * 1.2 - .1, rng.random() * 1.2 - .1, rng.uniform(-9, 9), rng.uniform(-9, 9)
+        n = math.hypot(qx - px, qy - py)
+        nx, ny = -(qy - py) / n, (qx - px) / n
+        segs.append((i, [px + s * (qx - px) + u * nx, py + s * (qy - py) + u * ny], [px + e * (qx - px) + v * nx, py + e * (qy - py) + v * ny]))
+    segs += [(500 + i, *segs[3][1:]) for i in range(5)] + [(600, [50., 50.], [50., 50.])]
+    quads = spark.createDataFrame([("q", corners)], "quad_id string, corners array<array<double>>")
+    lines = spark.createDataFrame([("q", *x) for x in segs], "quad_id string, line_id int, a array<double>, b array<double>")
+    assoc = candidates.edge_associations(lines, quads, ["quad_id"])
+    got = candidates.collinear_members(assoc, ["quad_id"]).collect()
+    rows = assoc.collect()
+    leader = {}
+    for r in sorted(rows, key=lambda r: r.line_id):
+        leader.setdefault((r.edge, tuple(r.a), tuple(r.b)), r.line_id)
+    want = set()
+    for s in rows:
+        if leader[s.edge, tuple(s.a), tuple(s.b)] != s.line_id:
+            continue
+        ux, uy = (s.b[0] - s.a[0]) / s.length, (s.b[1] - s.a[1]) / s.length
+        for m in rows:
+            cosine = abs((m.b[0] - m.a[0]) * ux + (m.b[1] - m.a[1]) * uy) / m.length
+            far = max(abs((y - s.a[1]) * ux - (x - s.a[0]) * uy) for x, y in (m.a, m.b))
+            if m.edge == s.edge and math.degrees(math.acos(min(cosine, 1.))) <= 5 and far <= 2.5:
+                want.add((s.edge, s.line_id, m.line_id))
+    assert len(got) == len(want) > len(rows) and {(r.edge, r.seed, r.line_id) for r in got} == want
+
+
 def test_strip_texture(spark):
     rows = [("s", r, c, 128 + 48 * math.cos(2 * math.pi * r / 8)) for r in range(96) for c in range(8)]
     px = spark.createDataFrame(rows, "strip_id string, row int, col int, v double")
