@@ -2,19 +2,47 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
+from urllib.parse import quote
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .blocks import FRAME_BLOCK, row_numbers
 
 
+CHUNK = 1 << 22
+
+
 def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path, size, sha256) of files; contents are dropped as soon as they are hashed."""
+    """(path, size, sha256) of files of any size.
+
+    Spark lists the files; the task that a file falls to reads it piece by piece, so memory stays at one piece.
+    Empty files are not listed: the reader of binary files passes over them.
+    """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
              .option("recursiveFileLookup", "true").load(path))
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.col("length").alias("size")).withColumn("sha256", _file_sha256("path"))
+
+
+@F.pandas_udf(StringType())
+def _file_sha256(paths: pd.Series) -> pd.Series:
+    def digest(path: str) -> str:
+        if path.startswith("file:"):
+            source, place = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+        else:
+            source, place = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+        state = hashlib.sha256()
+        with source.open_input_stream(place, compression=None) as stream:
+            while piece := stream.read(CHUNK):
+                state.update(piece)
+        return state.hexdigest()
+
+    return paths.map(digest)
 
 
 def unbound_references(references: DataFrame, inventory: DataFrame, path: str = "path") -> DataFrame:
