@@ -113,3 +113,59 @@ def shaped(v: str, dtype: T.DataType, depth: int = 0) -> str:
     if isinstance(dtype, (T.IntegerType, T.LongType)):
         return f"CASE WHEN {is_numeric(v)} AND {number(v)} = floor({number(v)}) THEN try_variant_get({v}, '$', '{dtype.simpleString()}') END"
     return f"CASE WHEN {is_numeric(v)} THEN {number(v)} END"
+
+
+# ---- plain texts: most documents, read without walking their tree --------
+
+MARK = "~"
+NESTING = LEVELS - 1  # containers inside containers that cannot make a document too deep
+
+
+def is_plain(text: str) -> str:
+    """Whether a text can be read in its marked form: an object without escapes, marks, numbers that may be beyond double,
+    capital exponents and deep nesting. Others take the walk over their nodes, which decides alike but slower."""
+    odd = rf"\\|{MARK}|[0-9.]E|[eE][+]?[0-9]{{3}}|[0-9]{{39}}"
+    left = rf"""regexp_replace({text}, r'"[^"]*"|[^\[\]{{}}"]+', '')"""
+    for _ in range(NESTING):
+        left = rf"regexp_replace({left}, r'\{{\}}|\[\]', '')"
+    return rf"({text} RLIKE r'^\s*\{{' AND NOT {text} RLIKE r'{odd}' AND {left} = '')"
+
+
+def marked(text: str) -> str:
+    """A plain text with a mark before each text value, true and false as texts with the mark in second place, and keys
+    folded, so that one cast to a type cannot take a value of one kind for another. Keys that fold to one become equal."""
+    kinds = rf"""regexp_replace({text}, r'"([^"]*)"|\b(true|false)\b(?=\s*([,\]}}]))', '"$3{MARK}$1$2"')"""
+    keys = rf"""regexp_replace({kinds}, r'"{MARK}([^"]*"\s*:)', '"$1')"""
+    capitals = rf"""array_distinct(regexp_extract_all(m, r'"([^"{MARK}]*[A-Z][^"]*)"', 1))"""
+    return let(keys, "m", f"""aggregate({capitals}, m, (t, k) -> replace(t, concat('"', k, '"'), concat('"', {fold('k')}, '"')))""")
+
+
+def raw(dtype: T.DataType) -> str:
+    """The type a marked value is cast to; ``unmarked`` reads it."""
+    if isinstance(dtype, T.StructType):
+        return f"struct<{', '.join(f'{f.name}: {raw(f.dataType)}' for f in dtype.fields)}>"
+    if isinstance(dtype, T.ArrayType):
+        return f"array<{raw(dtype.elementType)}>"
+    if isinstance(dtype, T.MapType):
+        return f"map<string, {raw(dtype.valueType)}>"
+    return "string" if isinstance(dtype, (T.StringType, T.BooleanType)) else "double"
+
+
+def unmarked(x: str, dtype: T.DataType, depth: int = 0) -> str:
+    """What a marked value of the raw type says in the type itself, as ``shaped`` reads the same value."""
+    if raw(dtype) == dtype.simpleString() and "string" not in raw(dtype):  # numbers and arrays of them
+        return x
+    e = f"u{depth}"
+    if isinstance(dtype, T.StructType):
+        fields = ", ".join(f"'{f.name}', {unmarked(f'{x}.{f.name}', f.dataType, depth)}" for f in dtype.fields)
+        return f"CASE WHEN {x} IS NOT NULL THEN named_struct({fields}) END"
+    if isinstance(dtype, T.ArrayType):
+        return f"transform({x}, {e} -> {unmarked(e, dtype.elementType, depth + 1)})"
+    if isinstance(dtype, T.MapType):
+        return x if raw(dtype.valueType) == dtype.valueType.simpleString() and "string" not in raw(dtype.valueType) else (
+            f"transform_values({x}, (k{depth}, {e}) -> {unmarked(e, dtype.valueType, depth + 1)})")
+    if isinstance(dtype, T.StringType):
+        return f"CASE WHEN startswith({x}, '{MARK}') THEN substring({x}, 2) END"
+    if isinstance(dtype, T.BooleanType):
+        return f"CASE substring({x}, 2) WHEN '{MARK}true' THEN true WHEN '{MARK}false' THEN false END"
+    return f"CASE WHEN {x} = floor({x}) AND abs({x}) < 1e18 THEN try_cast({x} AS {dtype.simpleString()}) END"

@@ -88,7 +88,7 @@ def documents(spark: SparkSession, base: str) -> DataFrame:
 
 
 def captures(spark: SparkSession, base: str) -> DataFrame:
-    return cut(docs.typed(documents(spark, base)))  # parsed once for all rules that read it
+    return docs.typed(documents(spark, base))
 
 
 def sql_of(rule: str, source: str, issues: list[tuple[str, str, str]], more: str = "") -> str:
@@ -156,7 +156,7 @@ poses AS ({sql_of("packet_frame", "p", [
     ("(b + i) % 5 = 0", f"{PA}.frames[0].contact_bones'", "contact names an unmapped bone")], PACKETS)})
 SELECT * FROM own UNION ALL SELECT * FROM poses""")
 def packet_rules(spark, base) -> DataFrame:
-    return contract.packet_violations(captures(spark, base))
+    return contract.packet_violations(cut(captures(spark, base).select("clip_id", "format_version", "meta", "packets")))
 
 
 @catalog.add("event_rules", sql_of("reference", "f", [
@@ -168,7 +168,7 @@ def packet_rules(spark, base) -> DataFrame:
     ("b % 7 > n - 1", "'$.events.splits[0]'", "event outside the timeline"),
     ("k % 6 > n - 1", "'$.events.releases[0]'", "event outside the timeline")]))
 def event_rules(spark, base) -> DataFrame:
-    c = captures(spark, base)
+    c = cut(captures(spark, base).select("clip_id", "meta", "packets", "events"))  # several rules read it
     return contract.reference_violations(docs.events(c), docs.packets(c), c.select("clip_id", F.col("meta.frame_count").alias("n")))
 
 
@@ -177,7 +177,7 @@ def event_rules(spark, base) -> DataFrame:
     ("k % 3 > n - 1", "'$.quality.low_confidence_ranges[0]'", "range beyond the last frame"),
     ("greatest(b % 4, 1 + b % 5) > n - 1", "'$.quality.low_confidence_ranges[1]'", "range beyond the last frame")]))
 def range_rules(spark, base) -> DataFrame:
-    return contract.range_violations(captures(spark, base))
+    return contract.range_violations(cut(captures(spark, base).select("clip_id", "meta", "quality")))
 
 
 @catalog.add("contract_counts", f"""WITH {FLAT}

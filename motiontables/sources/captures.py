@@ -22,33 +22,38 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                       F.regexp_replace("value", "^﻿", "").alias("text"))
 
 
-def parsed(documents: DataFrame) -> DataFrame:
+def spread(documents: DataFrame) -> DataFrame:
+    """The documents over all tasks: reading one costs far more than moving it, and many come in one file."""
+    return documents.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
+def parsed(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, v, nodes, bad): each document as a VARIANT, every node of its tree, or why it cannot be read.
 
     A document is refused if it is not one JSON object and nothing else, repeats a key (ASCII case ignored) or holds
     a number beyond double, or nests deeper than ``variant.LEVELS``. It is a projection: no shuffle and no Python.
     """
-    rows = documents.select("doc_id", F.expr(variant.whole_document("text")).alias("v"))
+    rows = documents.select("doc_id", *keep, F.expr(variant.whole_document("text")).alias("v"))
     rows = rows.withColumn("level_0", F.expr(f"CASE WHEN v IS NOT NULL THEN array({variant.node("'$'", "'$'", "v")}) END"))
     for i in range(variant.LEVELS):
         step = f"transform(level_{i}, n -> {variant.children('n', MAP_FIELDS)})"
         rows = rows.withColumn(f"level_{i + 1}", F.expr(f"flatten(filter({step}, c -> size(c) > 0))"))
     levels = [f"level_{i}" for i in range(variant.LEVELS + 1)]
-    rows = rows.select("doc_id", "v", F.concat(*levels).alias("nodes"), (F.size(levels[-1]) > 0).alias("deep"))
+    rows = rows.select("doc_id", *keep, "v", F.concat(*levels).alias("nodes"), (F.size(levels[-1]) > 0).alias("deep"))
     keys = variant.let(variant.folded_keys("n.v"), "k", "size(array_distinct(k)) < size(k)")
     infinite = f"abs({variant.number('x')}) = double('Infinity')"
     bad = f"""CASE WHEN v IS NULL THEN 'not one JSON document' WHEN get(nodes, 0).kind <> 'object' THEN 'expected object'
         WHEN deep THEN 'nested too deeply' WHEN exists(nodes, n -> n.kind = 'object' AND {keys}) THEN 'duplicate object key'
         WHEN exists(nodes, n -> exists(CASE n.kind WHEN 'number' THEN array(n.v) WHEN 'numbers' THEN {variant.items('n.v')} END, x -> {infinite}))
         THEN 'nonfinite number' END"""
-    return rows.select("doc_id", "v", "nodes", F.expr(bad).alias("bad"))
+    return rows.select("doc_id", *keep, "v", "nodes", F.expr(bad).alias("bad"))
 
 
 def leaves(documents: DataFrame, version_path: str = "$.format_version") -> DataFrame:
     """One row per node of a JSON document with the document's version; an unreadable document is one ``invalid`` row at ``$``."""
     version = variant.string(f"get(filter(nodes, n -> n.path = '{version_path}' AND n.kind = 'string'), 0).v")
     none = "array(named_struct('path', '$', 'pattern', '$', 'kind', 'invalid', 'v', CAST(NULL AS VARIANT)))"
-    rows = parsed(documents).selectExpr("doc_id", "bad", f"coalesce({version}, '1.0') AS version",
+    rows = parsed(spread(documents.select("doc_id", "text"))).selectExpr("doc_id", "bad", f"coalesce({version}, '1.0') AS version",
                                         f"explode(CASE WHEN bad IS NULL THEN nodes ELSE {none} END) AS n").select("doc_id", "bad", "version", "n.*")
     rows = rows.withColumn("number", F.expr(f"CASE kind WHEN 'number' THEN {variant.number('v')} END")).withColumn(
         "numbers", F.expr(f"CASE kind WHEN 'numbers' THEN transform({variant.items('v')}, x -> {variant.number('x')}) END"))
@@ -66,12 +71,24 @@ def leaves(documents: DataFrame, version_path: str = "$.format_version") -> Data
 
 
 def typed(documents: DataFrame) -> DataFrame:
-    """Typed capture per readable document; ``doc_id`` becomes ``clip_id``."""
+    """Typed capture per readable document; ``doc_id`` becomes ``clip_id``.
+
+    A plain text is marked, parsed once and cast to the type of each field that is asked for; the walk over all nodes
+    is left for the others (escapes, huge numbers, deep nesting).
+    """
+    rows = spread(documents.select("doc_id", "text")).withColumn("plain", F.expr(f"coalesce({variant.is_plain('text')}, false)"))
+    rows = rows.withColumn("marked", F.expr(f"CASE WHEN plain THEN {variant.marked('text')} END"))
+    rows = rows.select("doc_id", "plain", F.expr(variant.whole_document("marked")).alias("m"), F.expr("CASE WHEN NOT plain THEN text END").alias("text"))
     # A filter would be pushed down, and carry the whole tree of levels with it; a generator stays where it is.
-    readable = parsed(documents).selectExpr("CAST(doc_id AS STRING) AS clip_id", "explode(CASE WHEN bad IS NULL THEN array(v) ELSE array() END) AS v")
-    members = readable.selectExpr("clip_id", f"{variant.folded_map('v', 'e', 'e.value')} AS members")
-    return members.selectExpr("clip_id", *[f"{variant.shaped(f'try_element_at(members, {f.name!r})', f.dataType)} AS {f.name}"
-                                           for f in T._parse_datatype_string(CAPTURE).fields])
+    readable = parsed(rows, ("plain", "m")).selectExpr(
+        "CAST(doc_id AS STRING) AS clip_id", "plain", "explode(CASE WHEN m IS NOT NULL OR bad IS NULL THEN array(struct(m, v)) ELSE array() END) AS d")
+    members = readable.selectExpr("clip_id", "plain", "d.m AS m", f"CASE WHEN NOT plain THEN {variant.folded_map('d.v', 'e', 'e.value')} END AS members")
+    fields = T._parse_datatype_string(CAPTURE).fields
+    cast = members.selectExpr("clip_id", "plain", "members", *[
+        f"try_variant_get(m, '$.{f.name}', '{variant.raw(f.dataType)}') AS {f.name}" for f in fields])
+    return cast.selectExpr("clip_id", *[
+        f"CASE WHEN plain THEN {variant.unmarked(f.name, f.dataType)} ELSE {variant.shaped(f'try_element_at(members, {f.name!r})', f.dataType)} END AS {f.name}"
+        for f in fields])
 
 
 # ---- facts --------------------------------------------------------------
