@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -69,41 +69,37 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(half(pts) + half(pts[::-1]))
 
 
-def hull_vertices(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    """Hull vertices of each group in two steps: per Arrow batch before the shuffle, then per group.
+def _hulls(points: DataFrame, keys: Sequence[str], x: str, y: str, schema: str, result) -> DataFrame:
+    """``result(key values, hull vertices)`` of each group, given as columns.
 
-    Only vertices of partial hulls are shuffled, so a group of any size stays small.
+    On one x only the lowest and the highest point can be a vertex, and these two are a plain aggregate that combines
+    before its shuffle. A group then comes to Python once, with two points for each of its x.
     """
     keys = list(keys)
-    types = dict(points.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", x double, y double"
+    ends = points.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).groupBy(*keys, "x").agg(
+        F.min("y").alias("low"), F.max("y").alias("high"))
 
-    def reduce(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame(columns=[*keys, "x", "y"])]
-        for key, part in frame.groupby(keys, sort=False, dropna=False):
-            v = hull(part[["x", "y"]].to_numpy(float))
-            out.append(pd.DataFrame({**{k: [key[i]] * len(v) for i, k in enumerate(keys)}, "x": v[:, 0], "y": v[:, 1]}))
-        return pd.concat([p for p in out if len(p)] or out[:1])
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        xs = frame["x"].to_numpy(float)
+        found = np.concatenate([np.stack([xs, frame[c].to_numpy(float)], axis=1) for c in ("low", "high")])
+        columns = result(hull(found[np.isfinite(found).all(axis=1)].reshape(-1, 2)))
+        size = len(next(iter(columns.values())))
+        return pd.DataFrame({**{k: [frame[k].iat[0]] * size for k in keys}, **columns})
+
+    types = dict(points.dtypes)
+    return ends.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {types[k]}" for k in keys) + f", {schema}")
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield reduce(batch)
 
-    xy = points.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    return xy.mapInPandas(partial, schema).groupBy(*keys).applyInPandas(reduce, schema)
+def hull_vertices(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
+    """Hull vertices of each group."""
+    return _hulls(points, keys, x, y, "x double, y double", lambda v: {"x": v[:, 0], "y": v[:, 1]})
 
 
 def hull_area(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y") -> DataFrame:
-    keys = list(keys)
-    types = dict(points.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", hull_area double"
-
-    def area(frame: pd.DataFrame) -> pd.DataFrame:
-        v = hull(frame[["x", "y"]].to_numpy(float))
-        a = 0.0 if len(v) < 3 else abs(np.dot(v[:, 0], np.roll(v[:, 1], -1)) - np.dot(v[:, 1], np.roll(v[:, 0], -1))) / 2
-        return frame[keys].head(1).assign(hull_area=a)
+    def area(v: np.ndarray) -> dict:
+        return {"hull_area": [0.0 if len(v) < 3 else abs(np.dot(v[:, 0], np.roll(v[:, 1], -1)) - np.dot(v[:, 1], np.roll(v[:, 0], -1))) / 2]}
 
-    return hull_vertices(points, keys, x, y).groupBy(*keys).applyInPandas(area, schema)
+    return _hulls(points, keys, x, y, "hull_area double", area)
 
 
 def point_spread(points: DataFrame, keys: Sequence[str], x: Column, y: Column, low_x: Column, low_y: Column,
