@@ -21,10 +21,17 @@ from motiontables.llm.shared import shared_folder
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Texts pass between the JVM and Python in batches that each side holds several times over, so these are kept small:
+    by default ten thousand texts go at once. Every row still goes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def keeping_names(stage: Callable) -> Callable:
     """The stage on columns of neutral names: only those of the documents table are known to it."""
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        in_small_batches(spark)
         neutral = [c if c in COLUMNS else f"further_{i}" for i, c in enumerate(docs.columns)]
         return stage(spark, docs.toDF(*neutral), sf_dir).toDF(*docs.columns)
     return run
@@ -56,6 +63,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences and where each lies."""
+    in_small_batches(spark)
     return packing.best_fit_packed(docs)
 
 
