@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import object_mask_status, pair_mask_status
 from .blocks import FRAME_BLOCK, Scan, block_scan
 from .lineage_cut import cut
-from .ranges import coverage_segments, interval_difference, merged_intervals, union_length
+from .ranges import coverage_points, interval_difference, merged_intervals, union_length
 
 FRAME_KEYS = ("clip_id", "frame")
 CELL = 64
@@ -97,7 +97,8 @@ def interior_support(base_runs: DataFrame, lit_runs: DataFrame, keys: Sequence[s
     """Lit share of interior pixels: those whose four neighbours are set too.
 
     Everything stays in runs: the interior of a row is the row eroded by one pixel,
-    intersected with the rows above and below; dark pixels are interior minus lit.
+    intersected with the rows above and below; dark pixels are interior minus lit. Lit runs
+    are only counted, so they may overlap.
     """
     keys = list(keys)
     k = [*keys, "y"]
@@ -105,8 +106,7 @@ def interior_support(base_runs: DataFrame, lit_runs: DataFrame, keys: Sequence[s
     parts = (base.select(*k, (F.col("x0") + 1).alias("x0"), (F.col("x1") - 1).alias("x1"), F.lit(1).alias("layer"))
              .unionByName(base.select(*keys, (F.col("y") + 1).alias("y"), "x0", "x1", F.lit(2).alias("layer")))
              .unionByName(base.select(*keys, (F.col("y") - 1).alias("y"), "x0", "x1", F.lit(3).alias("layer")))
-             .unionByName(merged_intervals(lit_runs.select(*k, "x0", "x1"), k, "x0", "x1")
-                          .select(*k, "x0", "x1", F.lit(4).alias("layer")))).filter(F.col("x1") > F.col("x0"))
+             .unionByName(lit_runs.select(*k, "x0", "x1", F.lit(4).alias("layer")))).filter(F.col("x1") > F.col("x0"))
     borders = parts.select(*k, "layer", F.inline(F.array(
         F.struct(F.col("x0").alias("pos"), F.lit(1).alias("step")),
         F.struct(F.col("x1").alias("pos"), F.lit(-1).alias("step")))))
@@ -135,12 +135,17 @@ def seed_consistency(runs: DataFrame, seeds: DataFrame, width=FRAME_BLOCK) -> Da
     """Forward against reverse mask at the seed frame of each object: overlap and different pixels."""
     at_seed = runs.join(seeds.select("clip_id", "object_id", F.col("frame").alias("frame")), ["clip_id", "object_id", "frame"])
     keys = ["clip_id", "object_id"]
-    seg = coverage_segments(at_seed, [*keys, "y"], "x0", "x1", F.col("direction") == "forward", width)
-    length = F.col("until") - F.col("pos")
-    both, either = (F.col("in_a") > 0) & (F.col("in_b") > 0), (F.col("in_a") > 0) | (F.col("in_b") > 0)
-    counts = seg.groupBy(*keys).agg(
-        F.sum(F.when(both, length).otherwise(0)).alias("intersection_px"),
-        F.sum(F.when(either, length).otherwise(0)).alias("union_px"))
+    points = coverage_points(at_seed, [*keys, "y"], "x0", "x1", F.col("direction") == "forward", width)
+    after = F.col("in_a"), F.col("in_b")
+    before = F.col("in_a") - F.col("da"), F.col("in_b") - F.col("db")
+
+    def length(covered) -> Column:
+        """Ends minus beginnings of what is covered; no position has to know the next one."""
+        return F.sum(F.col("pos") * (covered(*before).cast("int") - covered(*after).cast("int")))
+
+    counts = points.groupBy(*keys).agg(
+        length(lambda a, b: (a > 0) & (b > 0)).alias("intersection_px"),
+        length(lambda a, b: (a > 0) | (b > 0)).alias("union_px"))
     directions = at_seed.groupBy(*keys).agg(F.count_distinct("direction").alias("directions"))
     return counts.join(directions, keys).withColumn(
         "different_px", F.col("union_px") - F.col("intersection_px")).withColumn(
