@@ -42,7 +42,8 @@ from .words import byte_slices, prefix_hash, span_hash
 
 WINDOW, GRAM = 50, 20
 REACH = WINDOW - GRAM + 1  # grams in a window
-FILTER_BITS = 28  # 32 MiB
+FILTER_BITS = 28  # 32 MiB at most; less text has a smaller one, of a bit or two a byte
+LEAST_BITS = 20
 BLOCK_BYTES = 8 << 20  # of text a hash block stands for
 HELD_ROWS = 60_000
 SCAN_BYTES = 256 << 10
@@ -84,14 +85,19 @@ def summaries(docs: DataFrame) -> DataFrame:
                        F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("sha256"))
 
 
+def filter_bits(total_bytes: int) -> int:
+    """The filter has 2**bits bits: the driver holds and sends no more of it than the text asks for."""
+    return min(max(LEAST_BITS, int(total_bytes).bit_length()), FILTER_BITS)
+
+
 def block_bits(total_bytes: int) -> int:
     """Work is dealt to 2**bits blocks, each for about BLOCK_BYTES of text."""
-    return min(max(6, int(total_bytes // BLOCK_BYTES).bit_length()), FILTER_BITS - 3)
+    return min(max(6, int(total_bytes // BLOCK_BYTES).bit_length()), filter_bits(total_bytes) - 3)
 
 
 def repeated_minimisers(docs: DataFrame, total_bytes: int) -> np.ndarray:
-    """The filter: bit ``hash >> (64 - FILTER_BITS)`` is set for every minimiser that two documents have."""
-    bits = block_bits(total_bytes)
+    """The filter: bit ``hash >> (64 - filter_bits)`` is set for every minimiser that two documents have."""
+    bits, size = block_bits(total_bytes), filter_bits(total_bytes)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +119,7 @@ def repeated_minimisers(docs: DataFrame, total_bytes: int) -> np.ndarray:
                                                   binary_views(np.append(edge[full], len(value)) * 4, value.view(np.uint8))],
                                                  ["block", "hashes"])
 
-    rest = FILTER_BITS - bits  # bits of the filter within a block
+    rest = size - bits  # bits of the filter within a block
 
     def repeated(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         value = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in part["hashes"]]))
@@ -122,10 +128,10 @@ def repeated_minimisers(docs: DataFrame, total_bytes: int) -> np.ndarray:
         own[(twice >> np.uint32(32 - rest)).astype(np.int64)] = True
         return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(own).tobytes()]})
 
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    out = np.zeros(1 << (size - 3), np.uint8)
     wide = 1 << (rest - 3)
     blocks = docs.mapInArrow(hashed, "block int, hashes binary").groupBy("block").applyInPandas(repeated, "block int, bits binary")
-    for r in blocks.toLocalIterator():  # FILTER_BITS in all
+    for r in blocks.toLocalIterator():  # the filter in all
         out[r["block"] * wide: (r["block"] + 1) * wide] = np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -208,13 +214,14 @@ def travelling(reps: DataFrame, shared, blocks: int, skipped=None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held, rows = shared.value, [], 0
+        shift = np.uint64(64 - (8 * len(bits) - 1).bit_length())
         for batch in batches:
             if skipped is not None:
                 batch = batch.filter(pa.array(~passes(skipped.value, batch.column(0).to_numpy(zero_copy_only=False))))
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             for at, offsets, data in byte_slices(batch.column(1), SCAN_BYTES):
                 doc, first, starts, gram = runs(offsets, data)
-                slot = gram >> np.uint64(64 - FILTER_BITS)
+                slot = gram >> shift
                 maybe = (bits[(slot >> np.uint64(3)).astype(np.int64)] << (slot & np.uint64(7)).astype(np.uint8)) & 128 != 0
                 doc, first, starts, gram = doc[maybe], first[maybe], starts[maybe], gram[maybe]
                 if not len(doc):
