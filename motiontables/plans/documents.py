@@ -265,7 +265,7 @@ def estimate_rules(spark, base) -> DataFrame:
         "array_repeat(0.5D, IF(l_linenumber = 2, 4, 3)) AS global_orient",
         "IF(l_suppkey % 7 = 3, null, array_repeat(IF(l_suppkey % 7 = 2, double('Infinity'), 0.5D), 45)) AS hand_pose",
         "array_repeat(0.5D, IF(q % 9 = 4, 9, 10)) AS shape")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q", F.explode(contract.estimate_issues()).alias("message"))
+    return contract.estimate_violations(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "q"])
 
 
 @catalog.add("seed_rules", f"""
