@@ -38,8 +38,9 @@ def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], new_st
         owners, found = [], []
 
         def take(rows):
-            found.extend(rows)
-            owners.extend([current] * len(rows))
+            if rows:
+                found.extend(rows)
+                owners.extend([current] * len(rows))
 
         def flushed():
             own = dict(zip(key_list, zip(*owners))) if owners else dict.fromkeys(key_list, ())
