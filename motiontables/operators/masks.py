@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import object_mask_status, pair_mask_status
-from .blocks import FRAME_BLOCK, Scan, block_scan
-from .lineage_cut import cut
+from .blocks import FRAME_BLOCK
 from .ranges import coverage_points, interval_difference, merged_intervals, union_length
 
 FRAME_KEYS = ("clip_id", "frame")
@@ -97,24 +96,28 @@ def interior_support(base_runs: DataFrame, lit_runs: DataFrame, keys: Sequence[s
     """Lit share of interior pixels: those whose four neighbours are set too.
 
     Everything stays in runs: the interior of a row is the row eroded by one pixel,
-    intersected with the rows above and below; dark pixels are interior minus lit. Lit runs
-    are only counted, so they may overlap.
+    intersected with the rows above and below; dark pixels are interior minus lit. A frame is the
+    work of one task, so its runs are dealt out once and all steps happen where they are.
     """
     keys = list(keys)
     k = [*keys, "y"]
-    base = cut(merged_intervals(base_runs.select(*k, "x0", "x1"), k, "x0", "x1"))  # read three times below
-    parts = (base.select(*k, (F.col("x0") + 1).alias("x0"), (F.col("x1") - 1).alias("x1"), F.lit(1).alias("layer"))
-             .unionByName(base.select(*keys, (F.col("y") + 1).alias("y"), "x0", "x1", F.lit(2).alias("layer")))
-             .unionByName(base.select(*keys, (F.col("y") - 1).alias("y"), "x0", "x1", F.lit(3).alias("layer")))
-             .unionByName(lit_runs.select(*k, "x0", "x1", F.lit(4).alias("layer")))).filter(F.col("x1") > F.col("x0"))
-    borders = parts.select(*k, "layer", F.inline(F.array(
-        F.struct(F.col("x0").alias("pos"), F.lit(1).alias("step")),
-        F.struct(F.col("x1").alias("pos"), F.lit(-1).alias("step")))))
-    points = borders.groupBy(*k, "pos").agg(*[
-        F.sum(F.when(F.col("layer") == i, F.col("step")).otherwise(0)).alias(f"__d{i}") for i in range(1, 5)])
-    swept = block_scan(cut(points), k, ["pos"], [Scan("sum", F.col(f"__d{i}"), f"n{i}") for i in range(1, 5)]
-                       + [Scan("next", F.col("pos"), "until")])
-    length = F.coalesce(F.col("until") - F.col("pos"), F.lit(0))
+    runs = base_runs.select(*k, "x0", "x1", F.lit(False).alias("lit")).unionByName(lit_runs.select(*k, "x0", "x1", F.lit(True).alias("lit")))
+    merged = merged_intervals(runs.repartition(*keys), [*k, "lit"], "x0", "x1", None)
+    x0, x1, y, lit = (F.col(c) for c in ("x0", "x1", "y", "lit"))
+
+    def ends(own: Column, layer: int, row: Column, start: Column, stop: Column) -> list[Column]:
+        """Where a layer begins and ends on a row; nothing if it is empty there."""
+        return [F.when(own & (stop > start), F.struct(row.alias("y"), pos.alias("pos"), F.lit(layer).alias("layer"), F.lit(step).alias("step")))
+                for pos, step in ((start, 1), (stop, -1))]
+
+    borders = F.array(*ends(~lit, 1, y, x0 + 1, x1 - 1), *ends(~lit, 2, y + 1, x0, x1), *ends(~lit, 3, y - 1, x0, x1), *ends(lit, 4, y, x0, x1))
+    # Borders at one position need not be summed first: only the last of them has a length.
+    points = merged.select(*keys, F.inline(F.array_compact(borders)))
+    w = Window.partitionBy(*k).orderBy("pos")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    swept = points.select(*keys, *[F.sum(F.when(F.col("layer") == i, F.col("step")).otherwise(0)).over(upto).alias(f"n{i}") for i in range(1, 5)],
+                          (F.lead("pos").over(w) - F.col("pos")).alias("__length"))
+    length = F.coalesce("__length", F.lit(0))
     inner = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0)
     totals = swept.groupBy(*keys).agg(
         F.sum(F.when(inner, length).otherwise(0)).alias("interior_px"),
